@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from .pii_spans import DIMENSIONS, KINDS, STREETS_DE, STREETS_EN, STREETS_ES, ST
 
 VOTES = 8
 #: Spans of each kind on which the final classifier is trained (a hash sample).
-TRAINED_ON = 20_000
+TRAINED_ON = 5_000
 #: Rounds of expectation-maximisation and of the classifier's descent.
 ROUNDS, STEPS = 60, 150
 #: Share of the votes against, silent and for, of spans that are not and that are personal.
@@ -40,6 +41,8 @@ MOST_WORDS = 100_000
 #: A word is a surname if it follows this many given names, a given name if it precedes this many surnames.
 PARTNERS = 2
 
+_NAMES = ["doc_id", "kind", "start_pos", "end_pos", "a", "b", "votes", "features"]
+_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 _CANDIDATE = "doc_id bigint, kind string, start_pos int, end_pos int, a string, b string, votes array<int>, features array<int>"
 
 
@@ -53,14 +56,16 @@ def candidates(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     streets = {r.word for r in words if r.kind == "street_word"} | {*STREETS_EN, *STREETS_FR, *STREETS_DE, *STREETS_ES}
     pattern = "|".join(sorted(map(re.escape, streets), key=len, reverse=True))
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = re.compile(pattern, re.I)
-        names = ["doc_id", "kind", "start_pos", "end_pos", "a", "b", "votes", "features"]
-        for frame in frames:
-            rows = [(doc, *span) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for span in spans(text, given, common, known)]
-            yield pd.DataFrame(rows, columns=names)
+        for batch in batches:
+            rows = [(doc, *span) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for span in spans(text, given, common, known)]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
-    return docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(find, _CANDIDATE)
+    filled = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return filled.mapInArrow(find, _CANDIDATE)
 
 
 def lower_case_words(docs: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def add_names(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Person candidates with the two votes of the learned gazetteers."""
     persons = found.where("kind = 'person'")
     pairs = persons.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("votes")[0]).alias("listed"), F.count_if(F.col("votes")[2] < 0).alias("articles"))
-    lower = lower_case_words(docs)
+    lower = cut(lower_case_words(docs))
     last = pairs.where("b != ''").groupBy("b").agg(F.count_if(F.col("listed") > 0).alias("givens"), F.sum("n").alias("n"), F.sum("articles").alias("articles"))
     last = last.join(lower, F.lower("b") == F.col("word"), "left").select(
         "b", "givens", ((F.coalesce("n_lower", F.lit(0)) * 4 >= F.col("n")) | (F.col("articles") * 4 >= F.col("n"))).alias("b_common")

@@ -51,25 +51,33 @@ _PAIR = re.compile(rf"(?<![\w'’\-])({_CAP})(?=({_GAP}(?:(?:[{_UPPER}]\.|{_any(
 _TITLED = re.compile(rf"(?<![\w'’\-])(?:(?:{_any(TITLES)})\.?{_GAP})+((?:[{_UPPER}]\.{_GAP}?)*)((?:(?:{_any(PARTICLES)}){_GAP}){{0,3}}{_CAP})")
 _INITIALS = re.compile(rf"(?<![\w'’\-])((?:[{_UPPER}]\.{_GAP}?)+)((?:(?:{_any(PARTICLES)}){_GAP}){{0,3}}{_CAP})")
 _INVERTED = re.compile(rf"(?<![\w'’\-])([{_UPPER}]+(?:['’\-][{_UPPER}]+)*|[{_UPPER}]c[{_UPPER}]{{2,}}),{_GAP}({_CAP}|[{_UPPER}]\.)")
-_EMAIL = re.compile(
-    r"[\w.+\-’']*\w(?:[ \t\n]?[@＠][ \t\n]?|[ \t\n]?[\[({<][ ]?(?:at|AT|arobase|ät)[ ]?[\])}>][ \t\n]?|[ ](?:at|AT)[ ](?=[\w-]+[ ](?:dot|DOT)[ ]))"
-    r"\w[\w-]*(?:(?:\.|[ \t\n]?[\[({][ ]?(?:dot|DOT|punkt|punto|point)[ ]?[\])}][ \t\n]?|[ ](?:dot|DOT)[ ])[\w-]+)+"
+_INITIAL_DOT = re.compile(rf"\.(?<=[{_UPPER}]\.)(?<![\w'’\-][{_UPPER}]\.)")
+_UPPER_COMMA = re.compile(rf",(?<=[{_UPPER}],)")
+_UPPER_WORD = re.compile(r"[\w'’\-]+$")
+_AT = re.compile(
+    r"[ \t\r\n]{0,2}(?:[@＠]|[\[({<][ ]?(?:at|AT|arobase|ät)[ ]?[\])}>])[ \t\r\n]{0,2}|[ ](?:at|AT)[ ](?=[\w-]+[ ](?:dot|DOT)[ ])"
 )
+_LOCAL = re.compile(r"[\w.+\-’']*\w$")
+_MARKS = ("@", "＠", "at]", "at)", "at ]", "at )", "AT]", "AT)", "at}", "at>", "arobase", "ät)", "ät]", " dot ", " DOT ")
+_DOMAIN = re.compile(r"\w[\w-]*(?:(?:\.|[ \t\n]?[\[({][ ]?(?:dot|DOT|punkt|punto|point)[ ]?[\])}][ \t\n]?|[ ](?:dot|DOT)[ ])[\w-]+)+")
 _NUMBER = re.compile(r"(?<![\w@])(?<![\d][.,/-])(?:[+＋][ ]?)?\(?\d(?:[ \xa0./()\-–]{0,2}(?:\r?\n)?\d)+(?![\w]*[@])")
 _EXTENSION = re.compile(r"(?:,?[ \n]?(?:x|ext\.?|extension|poste|Durchwahl|App\.|int\.?)[ \n]?\d{1,5})", re.I)
-_CODE = re.compile(r"(?<![\w@./])(?:[A-Za-z]{1,6}-?\d[\d\-]{3,}\d[A-Za-z]?|\d{6,10}-?[A-Za-z])(?![\w@])")
+_CODE = re.compile(r"\d(?:[\d\-]{3,}\d-?[A-Za-z]?|\d{4}-\d)(?![\w@])")
+_LETTERS_BEFORE = re.compile(r"(?:^|(?<=[^\w@./]))[A-Za-z]{1,6}-?$")
 _TAIL = (
     rf"(?:,?{_GAP}(?:Apt|Apartment|Flat|Suite)\.?[ ]\d+\w?|,?{_GAP}\d{{1,2}}\.?º[ ]?[A-Z]\b|[,]{_GAP}{_CAP}|{_GAP}[A-Z]{{2}}\d{{1,2}}[ ]\d[A-Z]{{2}}|,?{_GAP}[A-Z]{{2}}[ ]\d{{5}}|,?{_GAP}\d{{5}}(?:[ ]{_CAP})?){{0,4}}"
 )
 _NUM = r"\d{1,5}(?:[ ]?[a-zA-Z]\b)?"
-_ADDRESS = re.compile(
-    "|".join((
-        rf"(?<![\w.,/\-])(?P<unit>(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?){_GAP}\d+\w?,?{_GAP})?(?<![\d.,]){_NUM},?{_GAP}(?:[NSEW]\.{_GAP})?(?:{_CAP}{_GAP}){{1,3}}(?:{_any(STREETS_EN)})\b\.?",
-        rf"(?<![\w.,/\-])\d{{1,5}}(?:{_GAP}(?:bis|ter|quater|[a-z]))?,?{_GAP}(?:{_any(STREETS_FR)}){_GAP}(?:[dl]['’]|(?:de|du|des|la|le|les|aux?|à){_GAP}){{0,3}}\w+(?:{_GAP}{_CAP}(?=,))?",
-        rf"(?<![\w.\-])(?:{_CAP}(?:{_any(STREETS_DE)})|(?:{_CAP}[ \-]){{1,2}}(?:Straße|Weg|Gasse|Platz|Allee|Str\.)|(?:Am|An der|Im|Zum|Zur){_GAP}{_CAP}),?{_GAP}\d{{1,5}}(?:[ ]?[a-z]\b)?",
-        rf"(?<![\w.\-])(?:{_any(STREETS_ES)}){_GAP}?(?:(?:de|del|la|las|los|el|{_CAP}){_GAP}?){{1,5}},?{_GAP}?(?:(?:n[.º°o]*|núm\.?|número){_GAP}?)?\d{{1,5}}(?:[ ]?[a-z]\b)?",
-    ))
+_ADDRESSES = (
+    (STREETS_EN, re.compile(rf"(?<![\w.,/\-])(?P<unit>(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?){_GAP}\d+\w?,?{_GAP})?(?<![\d.,]){_NUM},?{_GAP}(?:[NSEW]\.{_GAP})?(?:{_CAP}{_GAP}){{1,3}}(?:{_any(STREETS_EN)})\b\.?")),
+    (STREETS_FR, re.compile(rf"(?<![\w.,/\-])\d{{1,5}}(?:{_GAP}(?:bis|ter|quater|[a-z]))?,?{_GAP}(?:{_any(STREETS_FR)}){_GAP}(?:[dl]['’]|(?:de|du|des|la|le|les|aux?|à){_GAP}){{0,3}}\w+(?:{_GAP}{_CAP}(?=,))?")),
+    (
+        [*STREETS_DE, "Straße", "Weg", "Gasse", "Platz", "Allee", "Str.", "Am ", "An der", "Im ", "Zum ", "Zur "],
+        re.compile(rf"(?<![\w.\-])(?:{_CAP}(?:{_any(STREETS_DE)})|(?:{_CAP}[ \-]){{1,2}}(?:Straße|Weg|Gasse|Platz|Allee|Str\.)|(?:Am|An der|Im|Zum|Zur){_GAP}{_CAP}),?{_GAP}\d{{1,5}}(?:[ ]?[a-z]\b)?"),
+    ),
+    (STREETS_ES, re.compile(rf"(?<![\w.\-])(?:{_any(STREETS_ES)}){_GAP}?(?:(?:de|del|la|las|los|el|{_CAP}){_GAP}?){{1,5}},?{_GAP}?(?:(?:n[.º°o]*|núm\.?|número){_GAP}?)?\d{{1,5}}(?:[ ]?[a-z]\b)?")),
 )
+_NUMBER_END = re.compile(r",?\s{1,2}(?:(?:n[.º°o]*|núm\.?|número)\s{0,2})?\d")
 _ADDRESS_TAIL = re.compile(_TAIL)
 _POSTCODE = re.compile(r"\d{5}|[A-Z]{2}\d{1,2} \d[A-Z]{2}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,7 +118,13 @@ def _numbers(text: str) -> Iterator[Span]:
     for pattern in (_NUMBER, _CODE):
         for m in pattern.finditer(text):
             start, end = m.span()
-            span = m[0]
+            if pattern is _CODE:
+                letters = _LETTERS_BEFORE.search(text[max(0, start - 8) : start])
+                if letters:
+                    start -= len(letters[0])
+                elif not text[end - 1].isalpha() or (start and (text[start - 1].isalnum() or text[start - 1] in "_@./-")):
+                    continue
+            span = text[start:end]
             digits = sum(c.isdigit() for c in span)
             if digits < 6 or digits > 17 or (pattern is _NUMBER and digits < 7):
                 continue
@@ -132,28 +146,66 @@ def _numbers(text: str) -> Iterator[Span]:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    for m in _EMAIL.finditer(text):
-        start, end = m.span()
-        while text[start] in ".+-'’":
-            start += 1
+    for at in _AT.finditer(text):
+        local, domain = _LOCAL.search(text[max(0, at.start() - 64) : at.start()]), _DOMAIN.match(text, at.end())
+        if not local or not domain:
+            continue
+        start, end = at.start() - len(local[0].lstrip(".+-'’")), domain.end()
+        whole = text[start:end]
         left, right, l1, r1 = _around(text, start, end)
-        tail = re.split(r"[.\s)\]}]", m[0])[-1]
-        plain = bool(re.fullmatch(r"[\w.+\-’']+[@＠][\w.-]+", m[0]))
+        tail = re.split(r"[.\s)\]}]", whole)[-1]
+        plain = bool(re.fullmatch(r"[\w.+\-’']+[@＠][\w.-]+", whole))
         named = tail.isalpha() and len(tail) > 1
-        votes = [1 if plain else 0, 1 if named else -1, _vote(left[:5], MAIL_WORDS, 1), 0 if any(c.isalpha() for c in m[0][:2]) else -1, -1 if any(c.isdigit() for c in tail) else 0, 0, 0, 0]
+        votes = [1 if plain else 0, 1 if named else -1, _vote(left[:5], MAIL_WORDS, 1), 0 if any(c.isalpha() for c in whole[:2]) else -1, -1 if any(c.isdigit() for c in tail) else 0, 0, 0, 0]
         yield "email", start, end, "", "", votes, _hashed([f"t:{tail.lower()}", f"l1:{left[0] if left else l1}", f"lc:{l1}", f"rc:{r1}", f"plain:{plain}", f"named:{named}"])
 
 
 def _addresses(text: str, streets: re.Pattern) -> Iterator[Span]:
-    for m in _ADDRESS.finditer(text):
-        start, end = m.span()
-        tail = _ADDRESS_TAIL.match(text, end)
-        stop = tail.end() if tail else end
-        left, right, l1, r1 = _around(text, start, stop)
-        unit, post, line = bool(m["unit"]), bool(tail and _POSTCODE.search(tail[0])), l1 in "\n^"
-        known = bool(streets.search(m[0]))
-        votes = [1 if known else -1, _vote(left[:6], ADDRESS_WORDS, 1), 1 if post else 0, 1 if unit else 0, 1 if line else 0, -1 if right[:1] in (["was"], ["is"], ["lists"], ["were"]) else 0, 1 if tail and "," in tail[0] else 0, 0]
-        yield "address", start, stop, "", "", votes, _hashed([f"l1:{left[0] if left else l1}", f"l2:{' '.join(left[:2])}", f"r1:{right[0] if right else r1}", f"lc:{l1}", f"unit:{unit}", f"post:{post}", f"known:{known}", f"line:{line}"])
+    # a form is tried only around its street words
+    for words, form in _ADDRESSES:
+        seen = -1
+        for low, high in _windows(text, words):
+            for m in form.finditer(text, low, high):
+                if m.start() > seen:
+                    seen = m.start()
+                    yield _address(text, m, streets)
+
+
+def _windows(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Stretches of a text around the words, none twice."""
+    marks = []
+    for word in words:
+        at = text.find(word)
+        while at >= 0:
+            marks.append(at)
+            at = text.find(word, at + 1)
+    out: list[tuple[int, int]] = []
+    for at in sorted(marks):
+        low, high = max(0, at - 72), at + 72
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def _address(text: str, m: re.Match, streets: re.Pattern) -> Span:
+    start, end = m.span()
+    tail = _ADDRESS_TAIL.match(text, end)
+    stop = tail.end() if tail else end
+    left, right, l1, r1 = _around(text, start, stop)
+    unit, post, line = bool(m.groupdict().get("unit")), bool(tail and _POSTCODE.search(tail[0])), l1 in "\n^"
+    known = bool(streets.search(m[0]))
+    votes = [1 if known else -1, _vote(left[:6], ADDRESS_WORDS, 1), 1 if post else 0, 1 if unit else 0, 1 if line else 0, -1 if right[:1] in (["was"], ["is"], ["lists"], ["were"]) else 0, 1 if tail and "," in tail[0] else 0, 0]
+    return "address", start, stop, "", "", votes, _hashed([f"l1:{left[0] if left else l1}", f"l2:{' '.join(left[:2])}", f"r1:{right[0] if right else r1}", f"lc:{l1}", f"unit:{unit}", f"post:{post}", f"known:{known}", f"line:{line}"])
+
+
+def _inverted(text: str) -> Iterator[re.Match]:
+    for comma in _UPPER_COMMA.finditer(text):
+        word = _UPPER_WORD.search(text[max(0, comma.start() - 40) : comma.start()])
+        m = word and _INVERTED.match(text, comma.start() - len(word[0]))
+        if m:
+            yield m
 
 
 _TITLE_SET = {t.lower() for t in TITLES}
@@ -177,7 +229,7 @@ def _persons(text: str, given: frozenset[str], common: frozenset[str]) -> Iterat
         features = [f"l1:{left[0] if left else l1}", f"r1:{right[0] if right else r1}", f"lc:{l1}", f"rc:{r1}", f"form:{form}", f"given:{a in given}", f"titled:{has_title}", f"article:{article}", f"longer:{longer}", f"heading:{heading}", f"l2:{' '.join(left[:2])}", f"b:{b.lower()[-3:]}"]
         return "person", start, end, a, b, votes, _hashed(features)
 
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if any(t in text for t in TITLES) else ():
         start = m.start(1) if m[1] else m.start(2)
         b = m[2].split()[-1]
         titled.add(start)
@@ -190,14 +242,14 @@ def _persons(text: str, given: frozenset[str], common: frozenset[str]) -> Iterat
         seen.add(m.start())
         yield span(m.start(), m.start(3) + len(b), a, b, False, m[2], "pair")
     seen |= titled
-    for m in _INITIALS.finditer(text):
+    for m in filter(None, (_INITIALS.match(text, dot.start() - 1) for dot in _INITIAL_DOT.finditer(text))):
         if m.start() in seen or (m.start() and text[m.start() - 1] == " " and re.search(rf"{_CAP} $", text[max(0, m.start() - 24) : m.start()]) and text[max(0, m.start() - 24) : m.start()].split()[-1].lower() not in common | _TITLE_SET):
             continue
         if m[2].split()[-1].lower() in common:
             continue
         seen.add(m.start())
         yield span(m.start(), m.end(), "", _bare(m[2].split()[-1]), False, m[1], "initials")
-    for m in _INVERTED.finditer(text):
+    for m in _inverted(text):
         if m.start() not in seen and len(m[1]) > 2:
             seen.add(m.start())
             yield span(m.start(), m.end(), m[2], m[1].title(), False, "", "inverted")
@@ -209,7 +261,7 @@ def _bare(word: str) -> str:
 
 def spans(text: str, given: frozenset[str], common: frozenset[str], streets: re.Pattern) -> Iterator[Span]:
     """``(kind, start, end, first name, last name, votes, features)`` of every candidate of a text."""
-    if "@" in text or "＠" in text or "at" in text:
+    if any(mark in text for mark in _MARKS):
         yield from _emails(text)
     yield from _numbers(text)
     yield from _addresses(text, streets)
