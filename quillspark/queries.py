@@ -1,2 +1,502 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the tables of files, chunks, contents and documents, and the same in SQL where SQL can state it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import BATCH, SINGLE
+from .functions import fingerprint, text
+from .operators import annotate, blocks, evaluate, hamming, links, merge, sections, toc
+from .plans import pipelines
+from .sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/chunks.parquet")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/files.parquet")
+
+
+def _toc(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/toc_entries.parquet")
+
+
+def _distinct_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk once: its earliest row. Only ids and times are compared, contents travel once."""
+    return _chunks(spark, folder).groupBy("chunk_id").agg(F.min_by(F.struct("file_id", "chunk_index", "content", "section_header", "content_type"), "created_at").alias("r")).select("chunk_id", "r.*")
+
+
+#: White space of Unicode for DuckDB's engine, and stripping by it.
+_WS = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_US = "[\\t\\n\\x0b\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_US}+', ''), '{_US}+$', '')"
+
+
+def _scored_sql(table: str, content: str, header: str, extra: str) -> str:
+    terms = " OR ".join(f"contains(head, '{t}')" for t in evaluate.HEADER_TERMS)
+    return f"""
+    WITH a AS (SELECT {extra}, {_strip(f"coalesce({content}, '')")} AS bare, lower(coalesce({header}, '')) AS head, length(coalesce({header}, '')) AS hl FROM {table}),
+    b AS (SELECT *, lower(bare) AS low, length(bare) AS n, CASE WHEN length(bare) = 0 THEN 0 ELSE length(regexp_replace(bare, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(bare) END AS share,
+        string_split(bare, chr(10)) AS ls FROM a),
+    c AS (SELECT *, substr(low, 1, 400) AS top, len(list_filter(ls, lambda x: contains(x, '|'))) AS bars,
+        len(list_filter(ls, lambda x: regexp_matches({_strip('x')}, '\\.{{3,}}\\s*\\d{{1,4}}(\\s*\\|)?$'))) AS leaders FROM b),
+    d AS (SELECT *, CASE
+        WHEN n < 30 THEN 1 WHEN {terms} THEN 2 WHEN starts_with(low, 'figure:') OR starts_with(low, 'fig.') THEN 3
+        WHEN n < 150 AND regexp_matches(low, 'https?://|www\\.|doi:10\\.\\d{{4,9}}/') THEN 4
+        WHEN contains(top, 'copyright') OR contains(top, 'all rights reserved') THEN 5
+        WHEN leaders > 3 OR contains(top, 'table of contents') THEN 6
+        WHEN regexp_matches(bare, 'def\\s+[\\p{{L}}\\p{{N}}_]+\\(|import\\s+[\\p{{L}}\\p{{N}}_]|class\\s+[\\p{{L}}\\p{{N}}_]+:|const\\s+[\\p{{L}}\\p{{N}}_]+\\s*=|function\\s+[\\p{{L}}\\p{{N}}_]+\\(') THEN 7
+        WHEN share < 0.30 AND NOT contains(head, 'contents') AND bars > 5 AND bars::DOUBLE / len(ls) > 0.4 THEN 8 WHEN share < 0.30 THEN 9 ELSE 10 END AS rule FROM c)
+    SELECT {extra}, rule IN (7, 8, 10) AS should_use,
+        CASE rule WHEN 1 THEN 'Empty or image-only' WHEN 2 THEN 'Header filter: ' || head WHEN 3 THEN 'Forbidden prefix' WHEN 4 THEN 'Citation/Link chunk' WHEN 5 THEN 'Metadata keyword detected'
+            WHEN 6 THEN 'Detected Table of Contents' WHEN 7 THEN 'Source code block' WHEN 8 THEN 'Useful data table' WHEN 9 THEN 'Low alpha' ELSE 'OK' END AS reason,
+        CASE WHEN rule IN (1, 2, 4, 5, 9) THEN 'metadata' WHEN rule = 3 THEN 'other' WHEN rule = 6 THEN 'toc' WHEN rule = 7 THEN 'code' WHEN rule = 8 THEN 'table' ELSE 'main_content' END AS content_type,
+        CASE rule WHEN 7 THEN 85 WHEN 8 THEN 70 WHEN 9 THEN 20 WHEN 10 THEN least(100, 50 + CASE WHEN n BETWEEN 400 AND 1200 THEN 25 WHEN n BETWEEN 200 AND 2000 THEN 10 ELSE 0 END
+            + CASE WHEN share > 0.75 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(bare, '^\\p{{Lu}}') AND regexp_matches(bare, '[.!?]$') THEN 10 ELSE 0 END + CASE WHEN hl > 3 THEN 5 ELSE 0 END) ELSE 0 END::DOUBLE AS quality_score
+    FROM d"""
+
+
+def _plain_reason(df: DataFrame) -> DataFrame:
+    return df.withColumn("reason", F.when(F.col("reason").startswith("Low alpha ("), "Low alpha").otherwise(F.col("reason")))
+
+
+_EVALUATED = _scored_sql("chunks", "content", "section_header", "chunk_id, created_at")
+
+
+@_query(
+    f"""WITH v AS ({_scored_sql("documents", "text", "NULL::VARCHAR", "doc_id, source")})
+    SELECT v.source, count(*) AS total, count(*) FILTER (should_use) AS accepted, count(*) FILTER (NOT should_use) AS rejected, count(*) FILTER (should_use) * 100.0::DOUBLE / count(*) AS acceptance_rate,
+        coalesce(round(avg(CASE WHEN should_use THEN quality_score END), 2), 0.0) AS average_quality_score FROM v GROUP BY v.source"""
+)
+def quality_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "source", "text").withColumn("section_header", F.lit(None).cast("string"))
+    return evaluate.verdict_totals(evaluate.scored(docs, "text"), "source")
+
+
+@_query(_EVALUATED)
+def eval_p1(spark: SparkSession, folder: str) -> DataFrame:
+    judged = evaluate.scored(_chunks(spark, folder).select("chunk_id", "created_at", "content", "section_header"))
+    return _plain_reason(judged.select("chunk_id", "created_at", "evaluation.*"))
+
+
+@_query(
+    f"""WITH v AS ({_EVALUATED}) SELECT count(*) AS total, count(*) FILTER (should_use) AS accepted, count(*) FILTER (NOT should_use) AS rejected,
+    count(*) FILTER (should_use) * 100.0::DOUBLE / count(*) AS acceptance_rate, coalesce(round(avg(CASE WHEN should_use THEN quality_score END), 2), 0.0) AS average_quality_score FROM v"""
+)
+def eval_p1_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.verdict_totals(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
+
+
+@_query(f"WITH v AS ({_EVALUATED}) SELECT reason, count(*) AS n FROM v WHERE NOT should_use GROUP BY reason")
+def eval_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = evaluate.reason_counts(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
+    return _plain_reason(counted).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+@_query(f"WITH v AS ({_EVALUATED}) SELECT content_type, count(*) AS n FROM v GROUP BY content_type")
+def eval_content_type_dist(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.type_counts(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
+
+
+@_query()
+def eval_p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.verdict_report(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
+
+
+@_query(f"WITH v AS ({_EVALUATED}) SELECT chunk_id, created_at FROM v WHERE should_use")
+def filter_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.evaluate_and_keep(_chunks(spark, folder).select("chunk_id", "created_at", "content", "section_header")).select("chunk_id", "created_at")
+
+
+@_query(f"WITH v AS ({_EVALUATED}) SELECT chunk_id, created_at FROM v WHERE NOT should_use")
+def filter_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.refused(evaluate.scored(_chunks(spark, folder).select("chunk_id", "created_at", "content", "section_header"))).select("chunk_id", "created_at")
+
+
+def _layout_sql() -> str:
+    case = lambda marks, of, say: " ".join(f"WHEN {of.format(m)} THEN '{say} ''{m}'''" for m in marks)
+    return f"""
+    WITH a AS (SELECT chunk_id, created_at, {_strip("coalesce(content, '')")} AS bare, lower(coalesce(section_header, '')) AS head FROM chunks),
+    b AS (SELECT *, lower(bare) AS low, substr(lower(bare), 1, 400) AS top, length(bare) AS n, string_split(bare, chr(10)) AS ls,
+        CASE WHEN length(bare) = 0 THEN 0 ELSE length(regexp_replace(bare, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(bare) END AS share FROM a),
+    c AS (SELECT *, CASE {case(evaluate.LAYOUT_HEADER_TERMS, "contains(head, '{}')", 'Header contains')}
+        WHEN n < 30 OR low = '<!-- image -->' THEN 'Empty or image-only' {case(evaluate.LAYOUT_PREFIXES, "starts_with(low, '{}')", 'Starts with')}
+        {case(evaluate.LAYOUT_MARKS, "contains(top, '{}')", 'Contains')}
+        WHEN len(list_filter(ls, lambda x: regexp_matches({_strip('x')}, '\\.{{3,}}\\s*\\d{{1,4}}$'))) > 3 OR contains(top, 'table of contents') THEN 'Detected Table of Contents'
+        WHEN share < 0.30 AND NOT contains(head, 'contents') AND len(list_filter(ls, lambda x: contains(x, '|'))) > 5 AND head NOT IN ('', '##', '###') THEN 'Useful data table'
+        WHEN share < 0.30 THEN 'Low alphabetic content' ELSE 'OK' END AS reason FROM b)
+    SELECT chunk_id, created_at, reason IN ('Useful data table', 'OK') AS should_use, reason,
+        CASE WHEN reason = 'OK' THEN 'main_content' WHEN reason = 'Useful data table' THEN 'table' WHEN starts_with(reason, 'Starts with') THEN 'other' WHEN reason = 'Detected Table of Contents' THEN 'toc' ELSE 'metadata' END AS content_type
+    FROM c"""
+
+
+@_query(_layout_sql())
+def eval_p2(spark: SparkSession, folder: str) -> DataFrame:
+    judged = evaluate.layout_scored(_chunks(spark, folder).select("chunk_id", "created_at", "content", "section_header"))
+    return judged.select("chunk_id", "created_at", "evaluation.*").drop("quality_score")
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::DOUBLE / length(text) END AS alpha_ratio FROM documents WHERE text IS NOT NULL")
+def alpha_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", text.letter_share(F.col("text")).alias("alpha_ratio"))
+
+
+@_query(
+    f"""SELECT doc_id, greatest(1, (len(list_filter(regexp_split_to_array(text, '{_US}+'), lambda x: x <> '')) * 13) // 10)::INTEGER AS by_words,
+    (CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END)::INTEGER AS by_length, (length(text) // 4)::INTEGER AS by_quarter FROM documents WHERE text IS NOT NULL"""
+)
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    return _documents(spark, folder).where("text is not null").select("doc_id", text.tokens_by_words(t).alias("by_words"), text.tokens_by_length(t).alias("by_length"), text.tokens_by_quarter(t).alias("by_quarter"))
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#{1,4}[\\t\\n\\x0b\\f\\r ]+[^\\n]') THEN 'markdown'
+    WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\d+(\\.\\d+)*\\.?[\\t\\x0b\\f\\r ]+[^\\n]'))) > 0 THEN 'numeric' ELSE 'markdown' END AS style FROM documents WHERE text IS NOT NULL"""
+)
+def header_style(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", text.heading_style(F.col("text")).alias("style"))
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, line_no, {_strip('line')} AS bare FROM l)
+    SELECT doc_id, line_no::INTEGER AS line_no, len(string_split(rtrim(regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.+)$', 1), '.'), '.'))::INTEGER AS level,
+        regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.+)$', 2) AS title FROM s WHERE regexp_matches(bare, '^\\d+(?:\\.\\d+)*\\.?\\s+[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]+$')"""
+)
+def numeric_headings(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(text.text_lines(F.col("text"))).alias("line_no", "line"))
+    parsed = lines.select("doc_id", "line_no", text.numbered_heading(F.col("line")).alias("h")).where("h is not null")
+    return parsed.select("doc_id", "line_no", F.size("h.levels").alias("level"), "h.title")
+
+
+@_query()
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@_query()
+def normalize_md(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", text.normalised_layout(F.col("text")).alias("markdown"))
+
+
+@_query()
+def clean_md(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", text.cleaned_markdown(F.col("text")).alias("markdown"))
+
+
+@_query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[|\\-\\t\\n\\x0b\\f\\r ]+$')), chr(10)) AS markdown FROM documents WHERE text IS NOT NULL")
+def clean_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", text.without_rule_lines(F.col("text")).alias("markdown"))
+
+
+@_query()
+def line_noise_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chunks(spark, folder).select("chunk_id", "created_at", text.without_waste(F.col("content"), F.col("content_type")).alias("content"))
+    return rows.withColumn("estimated_tokens", text.tokens_by_words(F.col("content")))
+
+
+@_query("SELECT chunk_id, created_at, upper(trim(coalesce(section_header, ''))) IN ('', 'ARTICLE HISTORY', 'ABSTRACT', 'KEYWORDS', 'AUTHOR INFORMATION') AS front_matter FROM chunks")
+def front_matter_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunks(spark, folder).select("chunk_id", "created_at", text.front_matter(F.col("section_header")).alias("front_matter"))
+
+
+@_query(
+    """SELECT file_id, seq, regexp_extract(file_path, '[^/]*$') AS file_name, lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) AS suffix,
+    lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) NOT IN ('.pdf', '.txt') AS unsupported FROM files WHERE file_path IS NOT NULL"""
+)
+def file_dispatch(spark: SparkSession, folder: str) -> DataFrame:
+    rows = readers.dispatched(_files(spark, folder).where("file_path is not null").select("file_id", "seq", F.col("file_path").alias("path")))
+    return rows.select("file_id", "seq", "file_name", "suffix", F.col("error").isNotNull().alias("unsupported"))
+
+
+@_query()
+def md_sections(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
+    return sections.markdown_sections(docs).drop("markdown")
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT *, {_strip('line')} AS bare FROM l),
+    h AS (SELECT *, CASE WHEN regexp_matches(bare, '^\\d+(?:\\.\\d+)*\\.?\\s+[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]+$') THEN len(string_split(rtrim(regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s', 1), '.'), '.')) END AS lv FROM s),
+    r AS (SELECT *, sum(CASE WHEN lv IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS sec FROM h)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS section_idx, max(lv)::INTEGER AS section_level, string_agg(line, chr(10) ORDER BY place) AS section_content FROM r GROUP BY doc_id, sec"""
+)
+def num_sections(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
+    return sections.numeric_sections(docs).select("doc_id", "section_idx", "section_level", "section_content")
+
+
+@_query()
+def section_parents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
+    return sections.styled_sections(docs).select("doc_id", "section_idx", "section_header", "section_level", "parent_section", "top_header")
+
+
+@_query()
+def section_char_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
+    return sections.markdown_sections(docs, levels=3).select("doc_id", "section_idx", "char_start", "char_end")
+
+
+@_query()
+def content_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text != ''").select("doc_id", F.posexplode(blocks.exact_blocks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+
+
+@_query()
+def plain_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text != ''").select("doc_id", F.posexplode(blocks.plain_blocks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+
+
+@_query()
+def sentence_pieces_hard(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(blocks.split_sentences_hard(F.col("text"), 300)).alias("piece_idx", "content"))
+
+
+@_query()
+def sentence_pieces_sum(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(blocks.split_sentences_sum(F.col("text"), 300)).alias("piece_idx", "content"))
+
+
+@_query()
+def table_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _chunks(spark, folder).where("content_type = 'table' and content is not null").select("chunk_id", "content").distinct()
+    return tables.select("chunk_id", F.posexplode(blocks.split_table(F.col("content"), 60)).alias("piece_idx", "content"))
+
+
+@_query(
+    """WITH g AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS flat FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(lower(text), 'İ'))
+    SELECT doc_id, greatest(length(flat) - 2, 1)::BIGINT AS n_grams FROM g"""
+)
+def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _documents(spark, folder).where("text is not null and not contains(lower(text), 'İ')")
+    return rows.select("doc_id", F.size(fingerprint.grams(F.col("text"))).cast("bigint").alias("n_grams"))
+
+
+@_query()
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", fingerprint.simhash(F.col("text")).alias("simhash"))
+
+
+_FP = """fp AS (SELECT DISTINCT file_id, seq, lpad(lower(regexp_extract(simhash, '^\\s*(?:0[xX])?0*([0-9a-fA-F]{1,16})\\s*$', 1)), 16, '0') AS hex FROM files
+    WHERE regexp_extract(simhash, '^\\s*(?:0[xX])?0*([0-9a-fA-F]{1,16})\\s*$', 1) NOT IN ('', '0')), num AS (SELECT file_id, seq, hex, ('0x' || hex)::UBIGINT AS v FROM fp)"""
+
+
+@_query(
+    f"""WITH {_FP}, c AS (SELECT v, arg_min(file_id, seq) AS class_id FROM num GROUP BY v), l AS (SELECT a.v AS v, count(*) AS n FROM c a, c b WHERE a.v <> b.v AND bit_count(xor(a.v, b.v)) <= 3 GROUP BY a.v)
+    SELECT DISTINCT file_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM num JOIN c USING (v) LEFT JOIN l USING (v)"""
+)
+def near_dup_classes(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder).select("file_id", "seq", hamming.fingerprint(F.col("simhash")).alias("fp"))
+    return hamming.near_classes(files, "file_id", "fp", "seq")[0].withColumnRenamed("id", "file_id")
+
+
+@_query(
+    f"""WITH {_FP}, c AS (SELECT v, arg_min(file_id, seq) AS class_id, min(seq) AS seq FROM num GROUP BY v)
+    SELECT a.class_id AS class_a, b.class_id AS class_b, bit_count(xor(a.v, b.v))::BIGINT AS distance FROM c a JOIN c b ON a.seq < b.seq AND bit_count(xor(a.v, b.v)) <= 3"""
+)
+def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder).select("file_id", "seq", hamming.fingerprint(F.col("simhash")).alias("fp"))
+    return hamming.near_classes(files, "file_id", "fp", "seq")[1]
+
+
+@_query()
+def dedup_greedy(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", fingerprint.as_bits(fingerprint.simhash(F.col("text"))).alias("fp"))
+    return hamming.greedy_keep(docs, "doc_id", "fp", "doc_id").withColumnRenamed("id", "doc_id")
+
+
+@_query()
+def dedup_status_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_greedy(spark, folder).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_FP} SELECT file_id, seq, bit_count(xor(v, ('0x0123456789abcdef')::UBIGINT))::BIGINT AS distance FROM num")
+def hamming_distance(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _files(spark, folder).select("file_id", "seq", hamming.fingerprint(F.col("simhash")).alias("fp")).where("fp is not null").distinct()
+    return rows.select("file_id", "seq", F.bit_count(F.col("fp").bitwiseXOR(F.lit(0x0123456789ABCDEF))).cast("bigint").alias("distance"))
+
+
+@_query("SELECT count(DISTINCT file_id) AS files, count(DISTINCT simhash) AS fingerprints FROM files WHERE file_id <> '' AND simhash <> ''")
+def index_size(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.known_fingerprints(_files(spark, folder)).agg(F.countDistinct("file_id").alias("files"), F.countDistinct("simhash").alias("fingerprints"))
+
+
+@_query(
+    """SELECT file_id, count(*) AS total_entries, coalesce(max(level), 0)::INTEGER AS max_depth, count(*) FILTER (level = 0) AS chapters,
+    bool_or(page IS NOT NULL) AS has_page_numbers, bool_or(numeric_id IS NOT NULL) AS has_numeric_ids FROM toc_entries GROUP BY file_id"""
+)
+def toc_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return toc.contents_figures(_toc(spark, folder), "file_id")
+
+
+@_query(
+    """WITH o AS (SELECT file_id, numeric_id AS parent_id, arg_max(entry_no, entry_no) AS no, max(entry_no) AS m FROM toc_entries WHERE numeric_id IS NOT NULL GROUP BY ALL),
+    n AS (SELECT e.file_id, e.entry_no, max(p.entry_no) AS near FROM toc_entries e JOIN toc_entries p ON p.file_id = e.file_id AND p.entry_no < e.entry_no AND p.level < e.level
+        WHERE e.parent_id IS NULL AND e.numeric_id IS NULL GROUP BY ALL)
+    SELECT e.file_id, e.entry_no, coalesce(o.no, n.near)::INTEGER AS parent_no FROM toc_entries e LEFT JOIN o ON o.file_id = e.file_id AND o.parent_id = e.parent_id
+    LEFT JOIN n ON n.file_id = e.file_id AND n.entry_no = e.entry_no"""
+)
+def toc_parents(spark: SparkSession, folder: str) -> DataFrame:
+    return toc.resolved(_toc(spark, folder)).select("file_id", "entry_no", F.col("parent_no").cast("int").alias("parent_no"))
+
+
+@_query()
+def toc_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return toc.parsed(_documents(spark, folder).select("doc_id", toc.contents(F.col("text")).alias("toc")), "toc")
+
+
+@_query()
+def toc_removed(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", toc.without_contents(F.col("text")).alias("markdown"))
+
+
+_KEYS = """k AS (SELECT file_id, entry_no, 0 AS k, title AS key, title, level, numeric_id, parent_id, full_path FROM toc_entries WHERE title IS NOT NULL
+    UNION ALL SELECT file_id, entry_no, 1, numeric_id || '. ' || title, title, level, numeric_id, parent_id, full_path FROM toc_entries WHERE title IS NOT NULL AND numeric_id IS NOT NULL
+    UNION ALL SELECT file_id, entry_no, 2, numeric_id || ' ' || title, title, level, numeric_id, parent_id, full_path FROM toc_entries WHERE title IS NOT NULL AND numeric_id IS NOT NULL),
+    u AS (SELECT *, row_number() OVER (PARTITION BY file_id, key ORDER BY entry_no DESC, k DESC) AS rn, min(entry_no * 3 + k) OVER (PARTITION BY file_id, key) AS key_no FROM k),
+    m AS (SELECT * FROM u WHERE rn = 1)"""
+
+
+@_query(f"WITH {_KEYS} SELECT c.chunk_id, c.created_at, m.full_path AS toc_full_path, m.level AS toc_level, m.numeric_id AS toc_numeric_id FROM chunks c JOIN m ON m.file_id = c.file_id AND m.key = c.section_header WHERE {_strip('c.section_header')} <> ''")
+def toc_enrich_exact(spark: SparkSession, folder: str) -> DataFrame:
+    keys = toc.lookup(_toc(spark, folder), "file_id").select("file_id", F.col("key").alias("section_header"), "full_path", "level", "numeric_id")
+    rows = _chunks(spark, folder).where(text.stripped(F.col("section_header")) != "").select("chunk_id", "created_at", "file_id", "section_header")
+    joined = rows.join(keys, ["file_id", "section_header"])
+    return joined.select("chunk_id", "created_at", F.col("full_path").alias("toc_full_path"), F.col("level").alias("toc_level"), F.col("numeric_id").alias("toc_numeric_id"))
+
+
+@_query(
+    f"""WITH {_KEYS}, h AS (SELECT DISTINCT file_id, section_header AS h FROM chunks WHERE {_strip('section_header')} <> ''),
+    e AS (SELECT h.file_id, h.h, m.full_path, m.level FROM h JOIN m ON m.file_id = h.file_id AND m.key = h.h),
+    f AS (SELECT h.file_id, h.h, arg_min(struct_pack(p := m.full_path, l := m.level), m.key_no) AS s FROM h JOIN m ON m.file_id = h.file_id AND contains(lower(m.key), lower(h.h))
+        WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_id = h.file_id AND e.h = h.h) GROUP BY ALL),
+    x AS (SELECT file_id, h, full_path, level FROM e UNION ALL SELECT file_id, h, s.p, s.l FROM f)
+    SELECT c.chunk_id, c.created_at, x.full_path AS toc_full_path, x.level AS toc_level FROM chunks c LEFT JOIN x ON x.file_id = c.file_id AND x.h = c.section_header"""
+)
+def toc_enrich_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    keys = toc.lookup(_toc(spark, folder), "file_id")
+    rows = _chunks(spark, folder).select("chunk_id", "created_at", "file_id", "section_header")
+    return toc.enriched(rows, keys, "file_id").select("chunk_id", "created_at", "toc_full_path", "toc_level")
+
+
+_ROWS = "(SELECT chunk_id, min(file_id) AS file_id, min(chunk_index) AS chunk_index FROM chunks GROUP BY chunk_id)"
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunks(spark, folder).groupBy("chunk_id").agg(F.min("file_id").alias("file_id"), F.min("chunk_index").alias("chunk_index"))
+
+
+@_query(f"SELECT chunk_id, (row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_id) - 1)::INTEGER AS position FROM {_ROWS}")
+def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    return links.numbered(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"], "position").select("chunk_id", "position")
+
+
+@_query(f"SELECT chunk_id, lag(chunk_id, 1, '') OVER w AS prev_chunk_id, lead(chunk_id, 1, '') OVER w AS next_chunk_id FROM {_ROWS} WINDOW w AS (PARTITION BY file_id ORDER BY chunk_index, chunk_id)")
+def chunk_links_uuid_style(spark: SparkSession, folder: str) -> DataFrame:
+    return links.linked(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"]).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+
+
+@_query(
+    f"""WITH n AS (SELECT file_id, file_id || '-' || row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_id) AS id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_id) AS k FROM {_ROWS})
+    SELECT id AS chunk_id, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id FROM n WINDOW w AS (PARTITION BY file_id ORDER BY k)"""
+)
+def chunk_links_file_style(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _rows(spark, folder).withColumnRenamed("chunk_id", "old_id")
+    return links.file_style_ids(rows, "file_id", ["chunk_index", "old_id"]).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+
+
+@_query()
+def merge_short(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
+    rows = rows.withColumn("estimated_tokens", text.tokens_by_words(F.col("content")))
+    return merge.merge_short(rows, "file_id", ["place", "chunk_id"], SINGLE.most_tokens, SINGLE.least_tokens)
+
+
+@_query()
+def join_short(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
+    rows = rows.withColumn("estimated_tokens", text.tokens_by_length(F.col("content")))
+    return merge.join_short(rows, "file_id", ["place", "chunk_id"], 50)
+
+
+@_query(
+    """WITH a AS (SELECT file_id, entry_no, entry_no * 997 AS pos FROM toc_entries),
+    s AS (SELECT file_id, chunk_index, sum(n) OVER (PARTITION BY file_id ORDER BY chunk_index) - n AS lo, sum(n) OVER (PARTITION BY file_id ORDER BY chunk_index) AS hi
+        FROM (SELECT file_id, chunk_index, max(length(coalesce(content, ''))) AS n FROM chunks GROUP BY ALL))
+    SELECT a.file_id, a.entry_no, min(s.chunk_index)::INTEGER AS chunk_index FROM a LEFT JOIN s ON s.file_id = a.file_id AND s.lo <= a.pos AND a.pos < s.hi GROUP BY ALL"""
+)
+def annotation_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = _chunks(spark, folder).groupBy("file_id", "chunk_index").agg(F.max(F.length(F.coalesce("content", F.lit("")))).alias("n"))
+    end = F.expr("sum(n) over (partition by file_id order by chunk_index)")
+    spans = sizes.withColumn("char_end", end).withColumn("char_start", F.col("char_end") - F.col("n")).withColumn("content", F.lit(""))
+    marks = _toc(spark, folder).select(
+        "file_id", F.col("entry_no").alias("annotation_no"), (F.col("entry_no") * 997).alias("pos"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("self_ref")
+    )
+    return annotate.placed(marks, spans, "file_id").select("file_id", F.col("annotation_no").alias("entry_no"), "chunk_index")
+
+
+@_query("SELECT f.file_id, count(DISTINCT c.chunk_id) AS n_chunks FROM (SELECT DISTINCT file_id FROM files) f LEFT JOIN chunks c USING (file_id) GROUP BY f.file_id")
+def file_chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = _rows(spark, folder).groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+    return _files(spark, folder).select("file_id").distinct().join(counted, "file_id", "left").select("file_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+@_query(
+    """SELECT chunk_id, (i - 1)::INTEGER AS pair_no, metadata.questions[i] AS question, metadata.answers[i] AS answer
+    FROM (SELECT chunk_id, metadata, unnest(range(1, greatest(coalesce(len(metadata.questions), 0), coalesce(len(metadata.answers), 0)) + 1)) AS i FROM enrichment)"""
+)
+def enrichment_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.question_pairs(spark.read.parquet(f"{folder}/enrichment.parquet"))
+
+
+def _as_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select(F.format_string("doc-%012d", "doc_id").alias("path"), F.format_string("doc-%012d", "doc_id").alias("file_id"), F.col("text").alias("markdown"), F.col("doc_id").alias("seq"))
+
+
+@_query()
+def pipeline_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.process(_as_files(spark, folder), "batch", settings=BATCH)[1]
+
+
+@_query()
+def pipeline_results(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.results(*pipelines.process(_as_files(spark, folder), "batch"))
+
+
+@_query()
+def layout_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.process_layout(_as_files(spark, folder).where("markdown is not null").select("file_id", "markdown"))
+
+
+@_query()
+def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.process_pages(_as_files(spark, folder).where("markdown is not null").select("file_id", "markdown"))
