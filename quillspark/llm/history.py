@@ -18,70 +18,17 @@ arrival, which gives the same result, as arrivals are judged in order.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hamming import block_masks, fingerprint, keyed, pairs_within, settle, signed
 from ..session import cut, shared_path
 
-BITS, DISTANCE = 64, 3
-#: Members of a key beyond which it is made longer.
-CROWDED = 200
-#: Times that keys are made longer.
-DEPTH = 2
-#: Candidate pairs of one batch beyond which it is taken in halves.
-MOST_PAIRS = 20_000_000
 #: Partitions of the stored tables.
 BUCKETS = 16
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def _cuts(bits: list[int], parts: int) -> list[int]:
-    """Masks of the given bit numbers cut into runs of nearly equal length."""
-    edges = [len(bits) * k // parts for k in range(parts + 1)]
-    return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
-
-
-def block_masks() -> list[int]:
-    """The 20 masks of the block tables."""
-    blocks = _cuts(list(range(BITS)), 6)
-    return [a | b | c for a, b, c in combinations(blocks, 3)]
-
-
-def longer_masks(mask: int) -> list[int]:
-    """Masks that keep the bits of ``mask`` and add a quarter of the others."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | more for more in _cuts(free, DISTANCE + 1) if more]
-
-
-def fingerprint(text: Column) -> Column:
-    """64-bit fingerprint of hexadecimal text as bigint; null where there is none.
-
-    White space around, ``0x`` before and either case are accepted, as are
-    fewer than 16 digits. Null, blank, unreadable and zero give null.
-    """
-    digits = F.lower(F.regexp_extract(text, r"^[\s\p{Z}]*(?:0[xX])?0*([0-9a-fA-F]{1,16})[\s\p{Z}]*$", 1))
-    full = F.lpad(digits, 16, "0")
-    half = lambda at: F.conv(F.substring(full, at, 8), 16, 10).cast("bigint")
-    value = F.shiftleft(half(1), 32).bitwiseOR(half(9))
-    return F.when((digits != "") & (value != 0), value)
-
-
-def _keyed(df: DataFrame, masks: list[int]) -> DataFrame:
-    each = F.explode(F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks]))
-    return df.withColumn("mask", each).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
-
-
-def _longer(df: DataFrame, masks: list[int]) -> DataFrame:
-    """Entries of ``df`` under the longer keys of their mask."""
-    table = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)).cast("bigint"), F.array(*[F.lit(_signed(k)).cast("bigint") for k in longer_masks(m)]))])
-    return df.withColumn("mask", F.explode(table[F.col("mask")])).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
-
-
 class FingerprintTables:
     """The accepted fingerprints, one row for each and mask, in a shared folder."""
 
@@ -90,62 +37,18 @@ class FingerprintTables:
 
     def append(self, accepted: DataFrame) -> None:
         """Add rows ``(fp, seq)``."""
-        rows = _keyed(accepted.select("fp", "seq"), block_masks()).withColumn("bucket", F.pmod(F.xxhash64("mask", "key"), F.lit(BUCKETS)).cast("int"))
+        rows = keyed(accepted.select("fp", "seq"), block_masks()).withColumn("bucket", F.pmod(F.xxhash64("mask", "key"), F.lit(BUCKETS)).cast("int"))
         rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "mask", "key").write.mode("append").partitionBy("bucket").parquet(self.path)
         self.parts += 1
 
-    def near(self, keyed: DataFrame) -> DataFrame | None:
+    def near(self, batch: DataFrame) -> DataFrame | None:
         """Stored rows in the partitions into which the keys of a batch fall."""
         if not self.parts:
             return None
-        wanted = [r[0] for r in keyed.select(F.pmod(F.xxhash64("mask", "key"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        wanted = [r[0] for r in batch.select(F.pmod(F.xxhash64("mask", "key"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
         return self.spark.read.parquet(self.path).where(F.col("bucket").isin(wanted)).select("fp", "seq", "mask", "key")
 
 
-def _pairs(entries: DataFrame, halvable: bool) -> DataFrame | None:
-    """``(fp, other, other_seq, known)``: rows of the batch and earlier ones within three bits.
-
-    ``entries``: (fp, seq, known, mask, key); ``known`` rows were accepted
-    before the batch. None: too many, take the batch in halves.
-    """
-    found, masks = [], block_masks()
-    for depth in range(DEPTH + 1):
-        sizes = entries.groupBy("mask", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("known")).alias("fresh")).where("n > 1 and fresh > 0")
-        sizes = cut(sizes)
-        crowded = sizes.where(F.col("n") > CROWDED)
-        more = depth < DEPTH and crowded.limit(1).count() > 0
-        here = sizes.where(F.col("n") <= CROWDED) if more else sizes
-        if halvable and (here.agg(F.sum(F.col("fresh") * F.col("n"))).first()[0] or 0) > MOST_PAIRS:
-            return None
-        mine = entries.join(here.select("mask", "key"), ["mask", "key"], "left_semi")
-        late = mine.where(~F.col("known"))
-        early = mine.select("mask", "key", F.col("fp").alias("other"), F.col("seq").alias("other_seq"), F.col("known").alias("other_known"))
-        found.append(
-            late.join(early, ["mask", "key"])
-            .where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE) & (F.col("other_seq") < F.col("seq")))
-            .select("fp", "other", "other_seq", "other_known")
-        )
-        if not more:
-            break
-        entries = _longer(entries.join(crowded.select("mask", "key"), ["mask", "key"], "left_semi"), masks)
-        masks = [k for m in masks for k in longer_masks(m)]
-    return reduce(DataFrame.unionAll, found).distinct()
-
-
-def _settle(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Accepted of ``nodes`` (fp, seq), judged in order of seq along ``links`` (fp, other) to earlier nodes."""
-    waiting, accepted = nodes, None
-    while links.limit(1).count():
-        first = links.select(F.col("other").alias("fp")).distinct().join(links.select("fp").distinct(), "fp", "left_anti")
-        first = cut(first)  # linked, and with no earlier node that waits or was accepted
-        gone = links.join(first.withColumnRenamed("fp", "other"), "other", "left_semi").select("fp").distinct()
-        gone = cut(gone)
-        waiting = waiting.join(gone, "fp", "left_anti")
-        settled = first.unionAll(gone)
-        links = cut(links.join(settled, "fp", "left_anti").join(settled.withColumnRenamed("fp", "other"), "other", "left_anti"))
-    return cut(waiting)
-
-
 def screen(tables: FingerprintTables, batch: DataFrame) -> DataFrame:
     """Judge a batch of distinct fingerprints ``(fp, seq)`` that come after all in ``tables``.
 
@@ -153,14 +56,14 @@ def screen(tables: FingerprintTables, batch: DataFrame) -> DataFrame:
     other_seq)`` from fingerprints of the batch to accepted ones within
     three bits, those of the batch itself included, in either order.
     """
-    keyed = cut(_keyed(batch.withColumn("known", F.lit(False)), block_masks()))
-    stored = tables.near(keyed)
-    entries = keyed.select("fp", "seq", "known", "mask", "key")
+    mine = cut(keyed(batch.withColumn("known", F.lit(False)), block_masks()))
+    stored = tables.near(mine)
+    entries = mine.select("fp", "seq", "known", "mask", "key")
     if stored is not None:
-        needed = stored.join(keyed.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
+        needed = stored.join(mine.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
         entries = entries.unionByName(needed.withColumn("known", F.lit(True)))
     span = batch.agg(F.min("seq"), F.max("seq"), F.expr("percentile_approx(seq, 0.25)")).first()
-    pairs = _pairs(entries, halvable=span[0] is not None and span[0] < span[1])
+    pairs = pairs_within(entries, halvable=span[0] is not None and span[0] < span[1])
     if pairs is None:
         middle = min(max(span[2], span[0]), span[1] - 1)
         first = screen(tables, batch.where(F.col("seq") <= middle))
@@ -169,7 +72,7 @@ def screen(tables: FingerprintTables, batch: DataFrame) -> DataFrame:
     refused = pairs.where("other_known").select("fp").distinct()
     left = batch.join(refused, "fp", "left_anti")
     inner = pairs.where("not other_known").join(refused, "fp", "left_anti").join(refused.withColumnRenamed("fp", "other"), "other", "left_anti")
-    accepted = _settle(left.select("fp", "seq"), cut(inner.select("fp", "other")))
+    accepted = settle(left.select("fp", "seq"), cut(inner.select("fp", "other")))
     tables.append(accepted)
     own = accepted.select(F.col("fp").alias("other"))
     to_own = pairs.where("not other_known").join(own, "other", "left_semi")
@@ -216,7 +119,7 @@ def deduplicate(files: DataFrame, tables: FingerprintTables | None = None, share
     near = reduce(DataFrame.unionByName, links).distinct()
     keepers = marked.groupBy("fp").agg(F.min(F.struct("seq", "file_id")).alias("r")).select(F.col("fp").alias("other"), F.col("r.seq").alias("other_seq"), F.col("r.file_id").alias("match_id"))
     same = marked.select("fp").distinct().select("fp", F.col("fp").alias("other"))
-    judged = files.sparkSession.read.parquet(tables.path).where(F.col("mask") == _signed(block_masks()[0])).select(F.col("fp").alias("other"), F.col("seq").alias("other_seq"))
+    judged = files.sparkSession.read.parquet(tables.path).where(F.col("mask") == signed(block_masks()[0])).select(F.col("fp").alias("other"), F.col("seq").alias("other_seq"))
     to = near.select("fp", "other").unionByName(same).distinct().join(judged, "other").join(keepers, ["other", "other_seq"])
     matches = cut(marked.join(to, "fp").where(F.col("other_seq") < F.col("seq")).select("file_id", "match_id"))
     verdict = firsts.join(matches.select("file_id").distinct().withColumn("_refused", F.lit(True)), "file_id", "left")
