@@ -17,13 +17,17 @@ _CODE = re.compile(
     r"\s*(?:```|~~~|#include|import [\w.]+\s*;?$|from [\w.]+ import|def \w+\(|class \w+[:({]|return\b.*[\])};]?$|for \w+ in .*:$|while .*[:{]$|if .*[:{]$|else\s*[:{]|elif .*:$|"
     r"(?:const|let|var|public|private|static|int|void|function|func|fn) \w+.*[;={(]|SELECT .* FROM |INSERT INTO|UPDATE \w+ SET|CREATE TABLE|# \w+|// ?\w|[\w.\[\]]+\s*(?:[+\-*/]?=)\s*[^=].*[\w)\]};\"']$|[{}]+;?$|\$ \w+)"
 )
+_CODE_ENDS = frozenset(":;{}()[]\"'`")
+_CODE_STARTS = ("import ", "from ", "SELECT ", "#", "//", "$ ", "else", "return", "INSERT", "UPDATE", "CREATE")
 _FORMULA = re.compile(r"\s*(?:\$\$|\\\[|\\begin\{|\\end\{|\\(?:frac|sum|int|alpha|left)\b)|\\frac\{|\\sum_|\\alpha\b")
 _COLUMNS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _HTML = re.compile(r"</?(?:tr|td|th|table|tbody|thead)\b", re.I)
 _RULE = re.compile(r"[\s|:+\-=_*~.#]+$")
 _GLYPH = re.compile(r"\(cid:\d+\)|glyph<[^>]*>|/g\d+|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|&#\d+;")
+_GLYPH_MARKS = ("cid:", "glyph<", "/g", "\\x", "\\u", "&#")
+_VOWELS = "aeiouyáéíóúàèìòùâêîôûäöüëïœæåøаеёиоуыэюяіїєαεηιουω"
+_FOREIGN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff\ufb00-\ufb06]")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_TOKENS = re.compile(r"\S+")
 _STOPS = (".", "!", "?", ":", ";", "…", '."', ".”", ".»", ".)", "。", "！", "？", "؟", "۔", "।")
 _ODD = re.compile(r"[�□¤¿¶\u0080-\u009f-]")
 
@@ -47,28 +51,32 @@ def roles(lines: list[str]) -> str:
         bare = line.strip()
         if not bare:
             out.append(BLANK)
-        elif bare.startswith(("```", "~~~")):
+            continue
+        first, last = bare[0], bare[-1]
+        if bare.startswith(("```", "~~~")):
             fenced = not fenced
             out.append(CODE)
         elif fenced:
             out.append(CODE)
-        elif bare.count("|") >= 2 or "\t" in bare or _HTML.search(bare):
+        elif bare.count("|") >= 2 or "\t" in bare or ("<" in bare and _HTML.search(bare)):
             out.append(TABLE)
-        elif _FORMULA.search(bare):
+        elif ("\\" in bare or "$" in bare) and _FORMULA.search(bare):
             out.append(FORMULA)
-        elif _RULE.match(bare) and len(bare) > 2:
+        elif not first.isalnum() and len(bare) > 2 and _RULE.match(bare):
             out.append(RULE)
-        elif _LEADER.search(bare) or _REFERENCE.match(line):
+        elif ("..." in bare or "…" in bare or ". ." in bare or "____" in bare) and _LEADER.search(bare):
             out.append(LIST)
-        elif _CODE.match(line):
+        elif last.isdigit() | (last == ".") and (" pp" in bare or " p." in bare) and _REFERENCE.match(line):
+            out.append(LIST)
+        elif (last in _CODE_ENDS or "=" in bare or "(" in bare or bare.startswith(_CODE_STARTS)) and _CODE.match(line):
             out.append(CODE)
-        elif _ENTRY.match(line):
+        elif (not first.isalpha() or bare[1:2] in ".)" or bare[:6].find(")") > 0 or bare[:5].find(".") > 0) and _ENTRY.match(line):
             out.append(LIST)
-        elif len(_COLUMNS.findall(bare)) >= 2 and not bare.endswith(".") and len(bare.split()) <= 4 * len(_COLUMNS.findall(bare)) and "  " in bare and _wide(bare):
+        elif "  " in bare and last != "." and (gaps := len(_COLUMNS.findall(bare))) >= 2 and len(bare.split()) <= 4 * gaps and _wide(bare):
             out.append(TABLE)
-        elif _cells(bare):
+        elif (";" in bare or "," in bare) and _cells(bare):
             out.append(TABLE)
-        elif _TERM.match(line) and len(bare.split()) <= 9:
+        elif ": " in bare and len(bare) < 110 and _TERM.match(line) and len(bare.split()) <= 9:
             out.append("t")
         else:
             out.append(TEXT)
@@ -103,7 +111,7 @@ def roles(lines: list[str]) -> str:
     for k in range(1, n):
         if out[k] == TEXT and out[k - 1] == LIST and lines[k][:2] == "  " and lines[k - 1].strip()[-1:] not in ".!?":
             out[k] = LIST
-    columns = [k for k in range(n) if out[k] == TEXT and _COLUMNS.search(lines[k].strip()) and len(lines[k].split()) <= 4]
+    columns = [k for k in range(n) if out[k] == TEXT and len(lines[k].split()) <= 4 and _COLUMNS.search(lines[k].strip())] if TABLE in out else []
     for k in columns:
         if (k and out[k - 1] == TABLE) or (k + 1 < n and out[k + 1] == TABLE):
             out[k] = TABLE
@@ -124,10 +132,10 @@ def _bare_entry(line: str) -> bool:
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_share", "list_share", "table_share", "code_share", "odd_share", "distinct_share", "vowel_share", "foreign_share", "token_length")
 
 
-def statistics(text: str, common: frozenset[str]) -> list[float]:
-    """Values of ``STATISTICS``; all 0 for a blank text."""
-    lines = text.split("\n")
-    kinds = roles(lines)
+def statistics(text: str, common: frozenset[str], lines: list[str] | None = None, kinds: str | None = None) -> list[float]:
+    """Values of ``STATISTICS``; all 0 for a blank text. ``lines`` and ``kinds``, if known already, are those of the text."""
+    lines = text.split("\n") if lines is None else lines
+    kinds = roles(lines) if kinds is None else kinds
     size = [len(x.strip()) for x in lines]
     total = sum(size)
     if not total:
@@ -140,16 +148,19 @@ def statistics(text: str, common: frozenset[str]) -> list[float]:
             full += 1
             stops += line.rstrip().endswith(_STOPS)
     low = text.lower()
+    plain = text.isascii()
     words = _WORDS.findall(low)
     count = max(1, len(words))
     letters = sum(map(len, words))
-    tokens = _TOKENS.findall(low)
+    tokens = low.split()
     solid = sum(map(len, tokens)) or 1
-    odd = len(_ODD.findall(text)) + sum(map(len, _GLYPH.findall(text))) + share["R"]
+    odd = share["R"] + (0 if plain else len(_ODD.findall(text)))
+    if any(mark in low for mark in _GLYPH_MARKS):
+        odd += sum(map(len, _GLYPH.findall(text)))
     digits = sum(map(str.isdigit, text)) if letters < 0.8 * solid else 0
-    foreign = len(re.findall(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff\ufb00-\ufb06]", low)) if letters and not low.isascii() else 0
-    vowels = len(re.findall(r"[aeiouyáéíóúàèìòùâêîôûäöüëïœæåøаеёиоуыэюяіїєαεηιουω]", low))
+    vowels = sum(map(low.count, "aeiouy" if plain else _VOWELS))
+    foreign = len(_FOREIGN.findall(low)) if letters and not plain else 0
     return [
-        float(len(words)), letters / count, max(0, solid - letters - digits) / solid, stops / full, sum(w in common for w in words) / count,
+        float(len(words)), letters / count, max(0, solid - letters - digits) / solid, stops / full, sum(map(common.__contains__, words)) / count,
         share["L"] / total, share["T"] / total, (share["C"] + share["F"]) / total, odd / solid, len(set(tokens)) / max(1, len(tokens)), vowels / max(1, letters), foreign / max(1, letters), solid / max(1, len(tokens)),
     ]
