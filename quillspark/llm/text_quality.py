@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +82,15 @@ def chunk_statistics(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``(chunk_id, file_id, *STATISTICS)`` of every row; null and blank contents give zeros."""
     common = common_words(lexicon)
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.array([statistics(t, common) for t in frame["content"]]).reshape(-1, len(STATISTICS))
-            yield pd.concat([frame[["chunk_id", "file_id"]].reset_index(drop=True), pd.DataFrame(values, columns=list(STATISTICS))], axis=1)
+    names = ["chunk_id", "file_id", *STATISTICS]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([statistics(t, common) for t in batch.column(2).to_pylist()]).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, values.T.copy())], names=names)
 
     columns = ", ".join(f"{s} double" for s in STATISTICS)
-    return chunks.select("chunk_id", "file_id", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(measure, f"chunk_id string, file_id string, {columns}")
+    return chunks.select("chunk_id", "file_id", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(measure, f"chunk_id string, file_id string, {columns}")
 
 
 def _scaled(values: np.ndarray) -> np.ndarray:
