@@ -68,16 +68,18 @@ _TAIL = (
     rf"(?:,?{_GAP}(?:Apt|Apartment|Flat|Suite)\.?[ ]\d+\w?|,?{_GAP}\d{{1,2}}\.?º[ ]?[A-Z]\b|[,]{_GAP}{_CAP}|{_GAP}[A-Z]{{2}}\d{{1,2}}[ ]\d[A-Z]{{2}}|,?{_GAP}[A-Z]{{2}}[ ]\d{{5}}|,?{_GAP}\d{{5}}(?:[ ]{_CAP})?){{0,4}}"
 )
 _NUM = r"\d{1,5}(?:[ ]?[a-zA-Z]\b)?"
-_ADDRESSES = (
-    (STREETS_EN, re.compile(rf"(?<![\w.,/\-])(?P<unit>(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?){_GAP}\d+\w?,?{_GAP})?(?<![\d.,]){_NUM},?{_GAP}(?:[NSEW]\.{_GAP})?(?:{_CAP}{_GAP}){{1,3}}(?:{_any(STREETS_EN)})\b\.?")),
-    (STREETS_FR, re.compile(rf"(?<![\w.,/\-])\d{{1,5}}(?:{_GAP}(?:bis|ter|quater|[a-z]))?,?{_GAP}(?:{_any(STREETS_FR)}){_GAP}(?:[dl]['’]|(?:de|du|des|la|le|les|aux?|à){_GAP}){{0,3}}\w+(?:{_GAP}{_CAP}(?=,))?")),
-    (
-        [*STREETS_DE, "Straße", "Weg", "Gasse", "Platz", "Allee", "Str.", "Am ", "An der", "Im ", "Zum ", "Zur "],
-        re.compile(rf"(?<![\w.\-])(?:{_CAP}(?:{_any(STREETS_DE)})|(?:{_CAP}[ \-]){{1,2}}(?:Straße|Weg|Gasse|Platz|Allee|Str\.)|(?:Am|An der|Im|Zum|Zur){_GAP}{_CAP}),?{_GAP}\d{{1,5}}(?:[ ]?[a-z]\b)?"),
-    ),
-    (STREETS_ES, re.compile(rf"(?<![\w.\-])(?:{_any(STREETS_ES)}){_GAP}?(?:(?:de|del|la|las|los|el|{_CAP}){_GAP}?){{1,5}},?{_GAP}?(?:(?:n[.º°o]*|núm\.?|número){_GAP}?)?\d{{1,5}}(?:[ ]?[a-z]\b)?")),
-)
-_NUMBER_END = re.compile(r",?\s{1,2}(?:(?:n[.º°o]*|núm\.?|número)\s{0,2})?\d")
+_UNIT = re.compile(rf"(?<![\w.,/\-])(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?){_GAP}\d+\w?,?{_GAP}$")
+_NUMBER_FIRST = re.compile(
+    rf"{_NUM},?{_GAP}(?:[NSEW]\.{_GAP})?(?:{_CAP}{_GAP}){{1,3}}(?:{_any(STREETS_EN)})\b\.?"
+    rf"|\d{{1,5}}(?:{_GAP}(?:bis|ter|quater|[a-z]))?,?{_GAP}(?:{_any(STREETS_FR)}){_GAP}(?:[dl]['’]|(?:de|du|des|la|le|les|aux?|à){_GAP}){{0,3}}\w+(?:{_GAP}{_CAP}(?=,))?"
+)
+_STREET_FIRST = re.compile(
+    rf"(?<![\w.\-])(?:(?:{_CAP}(?:{_any(STREETS_DE)})|(?:{_CAP}[ \-]){{1,2}}(?:Straße|Weg|Gasse|Platz|Allee|Str\.)|(?:Am|An der|Im|Zum|Zur){_GAP}{_CAP})"
+    rf"|(?:{_any(STREETS_ES)}){_GAP}?(?:(?:de|del|la|las|los|el|{_CAP}){_GAP}?){{1,5}}),?{_GAP}?(?:(?:n[.º°o]*|núm\.?|número){_GAP}?)?$"
+)
+_STREETS_BEFORE = (*STREETS_DE, *STREETS_ES, "Straße", "Weg", "Gasse", "Platz", "Allee", "Str.", "Am ", "An der ", "Im ", "Zum ", "Zur ")
+_HOUSE = re.compile(r"\d{1,5}")
+_HOUSE_LETTER = re.compile(r"[ ]?[a-z]\b")
 _ADDRESS_TAIL = re.compile(_TAIL)
 _POSTCODE = re.compile(r"\d{5}|[A-Z]{2}\d{1,2} \d[A-Z]{2}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -161,41 +163,36 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _addresses(text: str, streets: re.Pattern) -> Iterator[Span]:
-    # a form is tried only around its street words
-    for words, form in _ADDRESSES:
-        seen = -1
-        for low, high in _windows(text, words):
-            for m in form.finditer(text, low, high):
-                if m.start() > seen:
-                    seen = m.start()
-                    yield _address(text, m, streets)
-
-
-def _windows(text: str, words: list[str]) -> list[tuple[int, int]]:
-    """Stretches of a text around the words, none twice."""
-    marks = []
-    for word in words:
-        at = text.find(word)
-        while at >= 0:
-            marks.append(at)
-            at = text.find(word, at + 1)
-    out: list[tuple[int, int]] = []
-    for at in sorted(marks):
-        low, high = max(0, at - 72), at + 72
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], high)
+    # forms are tried at house numbers only: street after the number, or before it
+    done = -1
+    for m in _HOUSE.finditer(text):
+        start, end = m.span()
+        before = text[start - 1 : start]
+        if start < done or before.isalnum() or before in (".", ",", "/", "-"):
+            continue
+        ahead = _NUMBER_FIRST.match(text, start)
+        if ahead:
+            unit = _UNIT.search(text[max(0, start - 24) : start])
+            start, end = start - len(unit[0]) if unit else start, ahead.end()
         else:
-            out.append((low, high))
-    return out
+            unit, near = None, text[max(0, start - 72) : start]
+            behind = _STREET_FIRST.search(near) if before.isspace() and any(k in near for k in _STREETS_BEFORE) else None
+            if not behind:
+                continue
+            start -= len(near) - behind.start()
+            letter = _HOUSE_LETTER.match(text, end)
+            end = letter.end() if letter else end
+        span = _address(text, start, end, bool(unit), streets)
+        done = span[2]
+        yield span
 
 
-def _address(text: str, m: re.Match, streets: re.Pattern) -> Span:
-    start, end = m.span()
+def _address(text: str, start: int, end: int, unit: bool, streets: re.Pattern) -> Span:
     tail = _ADDRESS_TAIL.match(text, end)
     stop = tail.end() if tail else end
     left, right, l1, r1 = _around(text, start, stop)
-    unit, post, line = bool(m.groupdict().get("unit")), bool(tail and _POSTCODE.search(tail[0])), l1 in "\n^"
-    known = bool(streets.search(m[0]))
+    post, line = bool(tail and _POSTCODE.search(tail[0])), l1 in "\n^"
+    known = bool(streets.search(text, start, end))
     votes = [1 if known else -1, _vote(left[:6], ADDRESS_WORDS, 1), 1 if post else 0, 1 if unit else 0, 1 if line else 0, -1 if right[:1] in (["was"], ["is"], ["lists"], ["were"]) else 0, 1 if tail and "," in tail[0] else 0, 0]
     return "address", start, stop, "", "", votes, _hashed([f"l1:{left[0] if left else l1}", f"l2:{' '.join(left[:2])}", f"r1:{right[0] if right else r1}", f"lc:{l1}", f"unit:{unit}", f"post:{post}", f"known:{known}", f"line:{line}"])
 
@@ -208,6 +205,7 @@ def _inverted(text: str) -> Iterator[re.Match]:
             yield m
 
 
+_A_TITLE = re.compile(rf"[DFHMPS](?:{'|'.join(sorted({t[1:] for t in TITLES}))})[.\s]")
 _TITLE_SET = {t.lower() for t in TITLES}
 
 
@@ -229,7 +227,7 @@ def _persons(text: str, given: frozenset[str], common: frozenset[str]) -> Iterat
         features = [f"l1:{left[0] if left else l1}", f"r1:{right[0] if right else r1}", f"lc:{l1}", f"rc:{r1}", f"form:{form}", f"given:{a in given}", f"titled:{has_title}", f"article:{article}", f"longer:{longer}", f"heading:{heading}", f"l2:{' '.join(left[:2])}", f"b:{b.lower()[-3:]}"]
         return "person", start, end, a, b, votes, _hashed(features)
 
-    for m in _TITLED.finditer(text) if any(t in text for t in TITLES) else ():
+    for m in _TITLED.finditer(text) if _A_TITLE.search(text) else ():
         start = m.start(1) if m[1] else m.start(2)
         b = m[2].split()[-1]
         titled.add(start)
