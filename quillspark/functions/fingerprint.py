@@ -43,12 +43,11 @@ def _majority(flat: pd.Series) -> pd.Series:
         if each is None:
             out.append("0" * 16)
             continue
-        counted = Counter(each[i : i + WIDTH] for i in range(max(len(each) - WIDTH + 1, 1)))
-        codes = np.array([_bits(g) for g in counted], np.uint64)
-        weights = np.array(list(counted.values()), np.int64)
-        ones = ((codes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
-        votes = weights @ ones
-        out.append(f"{sum(1 << i for i in range(64) if 2 * votes[i] > weights.sum()):016x}")
+        counted = Counter([each[i : i + WIDTH] for i in range(max(len(each) - WIDTH + 1, 1))])
+        codes = np.array([_known.get(g) or _bits(g) for g in counted], ">u8")
+        weights = np.fromiter(counted.values(), np.float64, len(counted))
+        votes = weights @ np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+        out.append(np.packbits(2 * votes > weights.sum()).tobytes().hex())
     return pd.Series(out)
 
 

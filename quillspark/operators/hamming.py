@@ -10,9 +10,11 @@ Equal fingerprints are collapsed to one before any of this.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ BITS, DISTANCE = 64, 3
 CROWDED = 200
 #: Times that keys are made longer.
 DEPTH = 2
+#: Links that one task may hold to settle them in order.
+FEW_LINKS = 200_000
 #: Candidate pairs of one batch beyond which its caller is asked to take it in halves.
 MOST_PAIRS = 20_000_000
 
@@ -104,19 +108,40 @@ def pairs_within(entries: DataFrame, halvable: bool) -> DataFrame | None:
 
 
 def settle(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Accepted of ``nodes`` (fp, seq), judged in order of seq along ``links`` (fp, other) to earlier nodes."""
-    waiting, accepted = nodes, None
-    while links.limit(1).count():
+    """Accepted of ``nodes`` (fp, seq), judged in order of seq along ``links`` (fp, other) to earlier nodes.
+
+    Rounds over the whole graph accept the nodes without an earlier one and
+    refuse their neighbours; what is at most ``FEW_LINKS`` links is settled
+    by one task in order, with the same result.
+    """
+    waiting = nodes
+    while n := links.limit(FEW_LINKS + 1).count():
+        if n <= FEW_LINKS:
+            return cut(waiting.join(_refused_in_order(waiting, links), "fp", "left_anti"))
         first = links.select(F.col("other").alias("fp")).distinct().join(links.select("fp").distinct(), "fp", "left_anti")
         first = cut(first)  # linked, and with no earlier node that waits or was accepted
-        gone = links.join(first.withColumnRenamed("fp", "other"), "other", "left_semi").select("fp").distinct()
-        gone = cut(gone)
+        gone = cut(links.join(first.withColumnRenamed("fp", "other"), "other", "left_semi").select("fp").distinct())
         waiting = waiting.join(gone, "fp", "left_anti")
         settled = first.unionAll(gone)
         links = cut(links.join(settled, "fp", "left_anti").join(settled.withColumnRenamed("fp", "other"), "other", "left_anti"))
     return cut(waiting)
 
 
+def _refused_in_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp)`` of the refused among few links, by one pass in order of seq."""
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refused: set[int] = set()
+        for frame in frames:
+            for fp, other in zip(frame["fp"].tolist(), frame["other"].tolist(), strict=True):
+                if other not in refused:
+                    refused.add(fp)
+        yield pd.DataFrame({"fp": list(refused)}, dtype="int64")
+
+    ordered = links.join(nodes, "fp").select("fp", "other", "seq").repartition(1).sortWithinPartitions("seq")
+    return ordered.select("fp", "other").mapInPandas(walk, "fp bigint")
+
+
 def link_distinct(nodes: DataFrame) -> DataFrame:
     """``(fp, other, distance)``: for distinct ``(fp, seq)``, pairs within three bits, ``other`` being the earlier by seq."""
     entries = cut(keyed(nodes.select("fp", "seq").withColumn("known", F.lit(False)), block_masks()))
@@ -132,6 +157,7 @@ def near_classes(df: DataFrame, id_col: str, fp_col: str, order_col: str | None
     bits. Rows with a null fingerprint or id have no row.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(order_col or id_col).alias("seq")).where("fp is not null and id is not null and seq is not null")
+    rows = cut(rows)  # fingerprints may be costly, and are used twice
     nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("seq", "id")).alias("seq")).select("fp", "seq", F.col("seq.id").alias("class_id")))
     links = cut(link_distinct(nodes))
     name = lambda fp, out: nodes.select(F.col("fp").alias(fp), F.col("class_id").alias(out))
@@ -147,6 +173,7 @@ def greedy_keep(df: DataFrame, id_col: str, fp_col: str, order_col: str) -> Data
     Rows with a null fingerprint, id or order have no row.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(order_col).alias("seq")).where("fp is not null and id is not null and seq is not null")
+    rows = cut(rows)  # fingerprints may be costly, and are used twice
     nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("seq", "id")).alias("seq")))
     kept = settle(nodes.select("fp", "seq"), cut(link_distinct(nodes).select("fp", "other")))
     firsts = nodes.join(kept.select("fp"), "fp").select("seq.id", "seq.seq", F.lit("kept").alias("status"))

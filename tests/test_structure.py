@@ -138,6 +138,16 @@ def test_hamming_classes_against_brute_force(spark):
     assert {i for i, s in status.items() if s == "kept"} == {first[k] for k in kept}
 
 
+def test_rounds_and_one_task_settle_alike(spark, monkeypatch):
+    r = random.Random(3)
+    values = [r.getrandbits(6) for _ in range(200)]  # one dense knot of 64 fingerprints
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, fp long")
+    status = lambda: {x.id: x.status for x in hamming.greedy_keep(frame, "id", "fp", "id").collect()}
+    one_task = status()
+    monkeypatch.setattr(hamming, "FEW_LINKS", 0)
+    assert status() == one_task and "kept" in one_task.values()
+
+
 def test_keys_grow_where_a_group_is_hot(spark, monkeypatch):
     monkeypatch.setattr(hamming, "CROWDED", 4)
     r = random.Random(2)
