@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.hamming import block_masks, fingerprint, keyed, pairs_within, settle, signed
 from ..session import cut, shared_path
 
+_STORED = "fp bigint, seq bigint, mask bigint, key bigint, bucket int"
 #: Partitions of the stored tables.
 BUCKETS = 16
 
@@ -46,28 +47,29 @@ class FingerprintTables:
         if not self.parts:
             return None
         wanted = [r[0] for r in batch.select(F.pmod(F.xxhash64("mask", "key"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        return self.spark.read.parquet(self.path).where(F.col("bucket").isin(wanted)).select("fp", "seq", "mask", "key")
+        return self.spark.read.schema(_STORED).parquet(self.path).where(F.col("bucket").isin(wanted)).select("fp", "seq", "mask", "key")
 
 
-def screen(tables: FingerprintTables, batch: DataFrame) -> DataFrame:
-    """Judge a batch of distinct fingerprints ``(fp, seq)`` that come after all in ``tables``.
+def screen(tables: FingerprintTables, rows: DataFrame) -> DataFrame:
+    """Judge a batch ``(fp, seq)`` of files that come after all in ``tables``; fingerprints may repeat.
 
     Appends the accepted to ``tables``; returns links ``(fp, other,
     other_seq)`` from fingerprints of the batch to accepted ones within
     three bits, those of the batch itself included, in either order.
     """
+    batch = cut(rows.groupBy("fp").agg(F.min("seq").alias("seq")))
     mine = cut(keyed(batch.withColumn("known", F.lit(False)), block_masks()))
     stored = tables.near(mine)
     entries = mine.select("fp", "seq", "known", "mask", "key")
     if stored is not None:
         needed = stored.join(mine.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
         entries = entries.unionByName(needed.withColumn("known", F.lit(True)))
-    span = batch.agg(F.min("seq"), F.max("seq"), F.expr("percentile_approx(seq, 0.25)")).first()
+    span = rows.agg(F.min("seq"), F.max("seq"), F.expr("percentile_approx(seq, 0.25)")).first()
     pairs = pairs_within(entries, halvable=span[0] is not None and span[0] < span[1])
     if pairs is None:
         middle = min(max(span[2], span[0]), span[1] - 1)
-        first = screen(tables, batch.where(F.col("seq") <= middle))
-        return first.unionByName(screen(tables, batch.where(F.col("seq") > middle)))
+        first = screen(tables, rows.where(F.col("seq") <= middle))
+        return first.unionByName(screen(tables, rows.where(F.col("seq") > middle)))
     pairs = cut(pairs)
     refused = pairs.where("other_known").select("fp").distinct()
     left = batch.join(refused, "fp", "left_anti")
@@ -115,11 +117,11 @@ def deduplicate(files: DataFrame, tables: FingerprintTables | None = None, share
             part = part.where(F.col("seq") > low)
         if high is not None:
             part = part.where(F.col("seq") <= high)
-        links.append(screen(tables, cut(part.groupBy("fp").agg(F.min("seq").alias("seq")))))
+        links.append(screen(tables, part.select("fp", "seq")))
     near = reduce(DataFrame.unionByName, links).distinct()
     keepers = marked.groupBy("fp").agg(F.min(F.struct("seq", "file_id")).alias("r")).select(F.col("fp").alias("other"), F.col("r.seq").alias("other_seq"), F.col("r.file_id").alias("match_id"))
     same = marked.select("fp").distinct().select("fp", F.col("fp").alias("other"))
-    judged = files.sparkSession.read.parquet(tables.path).where(F.col("mask") == signed(block_masks()[0])).select(F.col("fp").alias("other"), F.col("seq").alias("other_seq"))
+    judged = files.sparkSession.read.schema(_STORED).parquet(tables.path).where(F.col("mask") == signed(block_masks()[0])).select(F.col("fp").alias("other"), F.col("seq").alias("other_seq"))
     to = near.select("fp", "other").unionByName(same).distinct().join(judged, "other").join(keepers, ["other", "other_seq"])
     matches = cut(marked.join(to, "fp").where(F.col("other_seq") < F.col("seq")).select("file_id", "match_id"))
     verdict = firsts.join(matches.select("file_id").distinct().withColumn("_refused", F.lit(True)), "file_id", "left")

@@ -192,7 +192,7 @@ def settled(guess: str, s: dict[str, float]) -> str | None:
         return None
     filler = s["distinct_share"] < 0.2 and s["distinct_share"] * max(s["n_words"], 8) <= 8
     for kind in ("list", "table", "code"):
-        if s[f"{kind}_share"] > (0.4 if guess == kind else 0.5) and not (filler and kind == "list"):
+        if s[f"{kind}_share"] > (0.4 if guess == kind else 0.5) and not (filler and kind == "list") and not (kind == "table" and s["symbol_ratio"] > 0.6 and s["common_share"] < 0.3):
             return kind
     strange = s["n_words"] >= 6 and s["common_share"] < 0.08 and s["foreign_share"] < 0.3 and s["list_share"] + s["table_share"] + s["code_share"] < 0.3
     garbled = s["odd_share"] > 0.08 or s["token_length"] > 18 and s["foreign_share"] < 0.3 or s["symbol_ratio"] > 0.5 and s["code_share"] < 0.3
