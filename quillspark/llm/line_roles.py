@@ -17,6 +17,7 @@ _CODE = re.compile(
     r"\s*(?:```|~~~|#include|import [\w.]+\s*;?$|from [\w.]+ import|def \w+\(|class \w+[:({]|return\b.*[\])};]?$|for \w+ in .*:$|while .*[:{]$|if .*[:{]$|else\s*[:{]|elif .*:$|"
     r"(?:const|let|var|public|private|static|int|void|function|func|fn) \w+.*[;={(]|SELECT .* FROM |INSERT INTO|UPDATE \w+ SET|CREATE TABLE|# \w+|// ?\w|[\w.\[\]]+\s*(?:[+\-*/]?=)\s*[^=].*[\w)\]};\"']$|[{}]+;?$|\$ \w+)"
 )
+_FENCE = re.compile(r"(?:`{3,4}|~{3,4})\s*[\w+#.\-]*$")
 _CODE_ENDS = frozenset(":;{}()[]\"'`")
 _CODE_STARTS = ("import ", "from ", "SELECT ", "#", "//", "$ ", "else", "return", "INSERT", "UPDATE", "CREATE")
 _FORMULA = re.compile(r"\s*(?:\$\$|\\\[|\\begin\{|\\end\{|\\(?:frac|sum|int|alpha|left)\b)|\\frac\{|\\sum_|\\alpha\b")
@@ -53,7 +54,7 @@ def roles(lines: list[str]) -> str:
             out.append(BLANK)
             continue
         first, last = bare[0], bare[-1]
-        if bare.startswith(("```", "~~~")):
+        if first in "`~" and _FENCE.match(bare):
             fenced = not fenced
             out.append(CODE)
         elif fenced:
