@@ -38,7 +38,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 FREQUENT, RARER = 10, 10
 #: A misread word may be this many times as frequent, to its variant, as the misreading is in long words.
 TOLERANCE = 5
-#: Words so frequent that they are never looked up; a list of fixed length, only to save work.
+#: Frequent words without fix or ligature that are not looked up; a list of fixed length, only to save work.
 TOP_WORDS = 5_000
 
 _LETTERS = r"\p{L}\p{N}|ªº¢€£@$"
@@ -234,7 +234,9 @@ def divided_words(seen: DataFrame, words: DataFrame) -> DataFrame:
 
 def misread_words(chunks: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
     """``(chunk_id, line_no, word, variant)`` of every misread word, of whatever kind of line; ligatures included."""
-    top = [r[0] for r in words.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}'’\-]+$")).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
+    ligatures = f"[{''.join(LIGATURES)}]"
+    sound = words.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}'’\-]+$") & ~F.col("word").rlike(ligatures)).join(fixes, "word", "left_anti")
+    top = [r[0] for r in sound.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
     lines = F.split("content", "\n", -1)
     hyphen = lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*_HYPHENS)
     each = chunks.select("chunk_id", lines.alias("lines")).select("chunk_id", "lines", F.posexplode("lines").alias("at", "line"))
@@ -245,7 +247,7 @@ def misread_words(chunks: DataFrame, words: DataFrame, fixes: DataFrame) -> Data
     found = each.select("chunk_id", (F.col("at") + 1).alias("line_no"), F.explode(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))).alias("word"))
     found = found.where(~F.col("word").isin(top) if top else F.lit(True)).where(r"length(word) > 1 and word rlike '\\p{L}'")
     joined = reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(LIGATURES[k])), LIGATURES, F.col("word"))
-    ligature = F.when(F.col("word").rlike(f"[{''.join(LIGATURES)}]"), joined)
+    ligature = F.when(F.col("word").rlike(ligatures), joined)
     variants = found.join(fixes, "word", "left").withColumn("variant", F.coalesce("variant", ligature))
     return variants.where("variant is not null").select("chunk_id", "line_no", "word", "variant")
 

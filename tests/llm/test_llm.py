@@ -248,6 +248,18 @@ def test_scan_noise(spark, lexicon):
     assert fixed["n1"] == "the record of the station was in the kitchen and it was the low- cost village of the fish and the line was as follows: 17 a low-cost window and a village in the end."
 
 
+def test_frequent_misreadings_are_looked_up(spark, lexicon):
+    clean = "the village of the harbour was in the record and it was the fish of the end"
+    rows = [(f"p{i}", "clean", i, "\n".join([clean] * 8) + ".", None, None) for i in range(130)]
+    rows += [(f"m{i}", "scan", i, "\n".join([clean, clean.replace("the record", "tbe record"), clean.replace("fish", "ﬁsh")]) + ".", None, None) for i in range(30)]
+    rows += [(f"b{i}", "scan", 50 + i, "\n".join([clean, clean.replace("harbour", "barbour")]) + ".", None, None) for i in range(3)]
+    frame = chunk_frame(spark, rows)
+    got = {(r.chunk_id, r.line_no) for r in scan_noise.find_noise(frame, lexicon).where("kind = 'misread'").collect()}
+    assert got == {(f"m{i}", k) for i in range(30) for k in (2, 3)} | {(f"b{i}", 2) for i in range(3)}
+    fixed = [r.content for r in scan_noise.repaired(frame, lexicon).where("chunk_id like 'm%'").collect()]
+    assert len(fixed) == 30 and not any("tbe" in t or "ﬁ" in t for t in fixed)
+
+
 def test_anagram_difference(spark):
     row = spark.createDataFrame([("rnodel", "model")], "a string, b string").select((scan_noise.anagram(F.col("b")) - scan_noise.anagram(F.col("a"))).alias("d")).first()
     assert row.d == scan_noise._difference("rn", "m")
