@@ -219,16 +219,24 @@ def divided_words(seen: DataFrame, words: DataFrame) -> DataFrame:
     plain = words.where(r"word rlike '^[\\p{L}\'’]+$'")
     by_key = plain.where(F.col("n") >= FREQUENT).groupBy(skeleton_column(F.col("word")).alias("key")).agg(F.max_by("word", "n").alias("known"), F.sum("n").alias("n_known"))
     exact = plain.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
-    compounds = words.where("word like '%-%'").groupBy(skeleton_column(F.col("word")).alias("ckey")).agg(F.sum("n").alias("n_compound"))
-    half = lambda name: plain.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
+    hyphenated = words.where("word like '%-%'")
+    compounds = hyphenated.groupBy(skeleton_column(F.col("word")).alias("ckey")).agg(F.sum("n").alias("n_compound"))
+
+    def half(name: str, part: int) -> DataFrame:
+        """How often a half stands in the corpus, alone or as that part of a hyphenated word, and how often at a divided line."""
+        parts = hyphenated.select(F.element_at(F.split("word", "-"), part).alias(name), "n")
+        stands = plain.select(F.col("word").alias(name), "n").unionByName(parts).groupBy(name).agg(F.sum("n").alias(f"n_{name}"))
+        return rows.where(F.col(name) != "").groupBy(name).agg(F.count("*").alias(f"cut_{name}")).join(stands, name, "left")
+
     joined = (
         rows.withColumn("ckey", skeleton_column(F.col("compound")))
-        .join(by_key, "key", "left").join(exact, "joined", "left").join(compounds, "ckey", "left").join(half("a"), "a", "left").join(half("b"), "b", "left")
+        .join(by_key, "key", "left").join(exact, "joined", "left").join(compounds, "ckey", "left").join(half("a", 1), "a", "left").join(half("b", -1), "b", "left")
     )
     zero = lambda name: F.coalesce(name, F.lit(0))
     whole = F.greatest(zero("n_known"), zero("n_joined"))
-    apart = (zero("n_a") >= 2 * FREQUENT) & (zero("n_b") >= 2 * FREQUENT)
-    case = F.when(F.col("b") == "", zero("n_a") < 2 * FREQUENT).when((whole > 0) | (zero("n_compound") > 0), whole > zero("n_compound")).otherwise(~apart)
+    own = lambda name: zero(f"n_{name}") >= 2 * zero(f"cut_{name}")
+    apart = own("a") & own("b")
+    case = F.when(F.col("b") == "", ~own("a")).when((whole > 0) | (zero("n_compound") > 0), whole > zero("n_compound")).otherwise(~apart)
     return joined.where(case).select("chunk_id", "line_no", "next_no", "a", "b", "joined", F.coalesce("known", "joined").alias("word"))
 
 

@@ -260,6 +260,14 @@ def test_frequent_misreadings_are_looked_up(spark, lexicon):
     assert len(fixed) == 30 and not any("tbe" in t or "ﬁ" in t for t in fixed)
 
 
+def test_halves_are_judged_by_share_not_by_count(spark, lexicon):
+    clean = "the village of the harbour was in the record and it was a low-cost window of the end"
+    rows = [(f"p{i}", "clean", i, "\n".join([clean] * 4) + ".", None, None) for i in range(30)]
+    rows += [(f"{half}{i}", "scan", i, f"{clean}\nand it was in the {half}-", None, None) for half in ("illegi", "low") for i in range(25)]
+    got = {(r.chunk_id, r.line_no) for r in scan_noise.find_noise(chunk_frame(spark, rows), lexicon).where("kind = 'hyphen'").collect()}
+    assert got == {(f"illegi{i}", 2) for i in range(25)}
+
+
 def test_anagram_difference(spark):
     row = spark.createDataFrame([("rnodel", "model")], "a string, b string").select((scan_noise.anagram(F.col("b")) - scan_noise.anagram(F.col("a"))).alias("d")).first()
     assert row.d == scan_noise._difference("rn", "m")
