@@ -77,7 +77,7 @@ _STREET_FIRST = re.compile(
     rf"(?<![\w.\-])(?:(?:{_CAP}(?:{_any(STREETS_DE)})|(?:{_CAP}[ \-]){{1,2}}(?:Straße|Weg|Gasse|Platz|Allee|Str\.)|(?:Am|An der|Im|Zum|Zur){_GAP}{_CAP})"
     rf"|(?:{_any(STREETS_ES)}){_GAP}?(?:(?:de|del|la|las|los|el|{_CAP}){_GAP}?){{1,5}}),?{_GAP}?(?:(?:n[.º°o]*|núm\.?|número){_GAP}?)?$"
 )
-_STREETS_BEFORE = (*STREETS_DE, *STREETS_ES, "Straße", "Weg", "Gasse", "Platz", "Allee", "Str.", "Am ", "An der ", "Im ", "Zum ", "Zur ")
+_STREETS_BEFORE = (*STREETS_DE, *STREETS_ES, "Straße", "Weg", "Gasse", "Platz", "Allee", "Str.", "Am", "An der", "Im", "Zum", "Zur")
 _HOUSE = re.compile(r"\d{1,5}")
 _HOUSE_LETTER = re.compile(r"[ ]?[a-z]\b")
 _ADDRESS_TAIL = re.compile(_TAIL)
@@ -168,15 +168,16 @@ def _addresses(text: str, streets: re.Pattern) -> Iterator[Span]:
     for m in _HOUSE.finditer(text):
         start, end = m.span()
         before = text[start - 1 : start]
-        if start < done or before.isalnum() or before in (".", ",", "/", "-"):
+        if start < done or before.isdigit() or (before in (".", ",", "/", "-") and text[start - 2 : start - 1].isdigit()):
             continue
-        ahead = _NUMBER_FIRST.match(text, start)
+        joined = before.isalnum() or before in (".", ",", "/", "-")
+        ahead = None if joined else _NUMBER_FIRST.match(text, start)
         if ahead:
             unit = _UNIT.search(text[max(0, start - 24) : start])
             start, end = start - len(unit[0]) if unit else start, ahead.end()
         else:
             unit, near = None, text[max(0, start - 72) : start]
-            behind = _STREET_FIRST.search(near) if before.isspace() and any(k in near for k in _STREETS_BEFORE) else None
+            behind = _STREET_FIRST.search(near) if any(k in near for k in _STREETS_BEFORE) else None
             if not behind:
                 continue
             start -= len(near) - behind.start()

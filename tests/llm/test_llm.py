@@ -294,6 +294,11 @@ def test_candidates():
     assert kinds_at("") == set() and not {k for k, _ in kinds_at("uses torch@1.2.3 and 12.5 of 7")} & {"phone", "address"}
 
 
+def test_addresses_whose_number_follows_no_blank():
+    for address in ("C/ Molino Viejo, nº12", "Calle Mayor,12", "Am\nMarkt 5", "Am\xa0Markt 5", "Zur\nMühle 7"):
+        assert ("address", address) in kinds_at(f"sent to {address}"), address
+
+
 def pii_rows():
     r = random.Random(9)
     firsts, lasts = ["Ana", "Bruno", "Clara", "Zeno"], ["Velt", "Korvin", "Damaris", "Ostrow"]
