@@ -58,7 +58,8 @@ _AT = re.compile(
     r"[ \t\r\n]{0,2}(?:[@＠]|[\[({<][ ]?(?:at|AT|arobase|ät)[ ]?[\])}>])[ \t\r\n]{0,2}|[ ](?:at|AT)[ ](?=[\w-]+[ ](?:dot|DOT)[ ])"
 )
 _LOCAL = re.compile(r"[\w.+\-’']*\w$")
-_MARKS = ("@", "＠", "at]", "at)", "at ]", "at )", "AT]", "AT)", "at}", "at>", "arobase", "ät)", "ät]", " dot ", " DOT ")
+#: Every form of _AT holds one of these.
+_MARKS = ("@", "＠", *(f"{at}{gap}{bracket}" for at in ("at", "AT", "ät") for gap in ("", " ") for bracket in "])}>"), "arobase", " dot ", " DOT ")
 _DOMAIN = re.compile(r"\w[\w-]*(?:(?:\.|[ \t\n]?[\[({][ ]?(?:dot|DOT|punkt|punto|point)[ ]?[\])}][ \t\n]?|[ ](?:dot|DOT)[ ])[\w-]+)+")
 _NUMBER = re.compile(r"(?<![\w@])(?<![\d][.,/-])(?:[+＋][ ]?)?\(?\d(?:[ \xa0./()\-–]{0,2}(?:\r?\n)?\d)+(?![\w]*[@])")
 _EXTENSION = re.compile(r"(?:,?[ \n]?(?:x|ext\.?|extension|poste|Durchwahl|App\.|int\.?)[ \n]?\d{1,5})", re.I)

@@ -299,6 +299,13 @@ def test_addresses_whose_number_follows_no_blank():
         assert ("address", address) in kinds_at(f"sent to {address}"), address
 
 
+def test_every_form_of_at_is_sought():
+    for word in ("at", "AT", "arobase", "ät"):
+        for left, right in ("[]", "()", "{}", "<>"):
+            for at in (f" {left}{word}{right} ", f" {left} {word} {right} "):
+                assert any(k == "email" for k, _ in kinds_at(f"jane{at}uni.example")), at
+
+
 def pii_rows():
     r = random.Random(9)
     firsts, lasts = ["Ana", "Bruno", "Clara", "Zeno"], ["Velt", "Korvin", "Damaris", "Ostrow"]
