@@ -101,7 +101,7 @@ def natural_boundaries(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def _cut_end(text: str, start: int, most: int) -> int:
-    """Where a piece from ``start`` ends: after the last boundary of the coarsest level in its later three quarters."""
+    """Where a piece from ``start`` ends: after the last boundary of the coarsest level in its later three quarters, else after the last white space in it."""
     if most >= len(text):
         return len(text)
     least = start + (most - start) // 4
@@ -114,7 +114,7 @@ def _cut_end(text: str, start: int, most: int) -> int:
         end = max((m.end() for m in pattern.finditer(text, least, most)), default=0)
         if end > start:
             return end
-    return most
+    return next((i + 1 for i in range(min(least, most) - 1, start - 1, -1) if _IS_SPACE.match(text[i])), most)
 
 
 def _overlap_start(text: str, start: int, floor: int, overlap: int) -> int:
@@ -137,6 +137,11 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, start: int =
     while start < len(text):
         before = _overlap_start(text, start, floor, back)
         end = _cut_end(text, start, before + most)
+        found = LEVELS["word"].search(text, start, start + most + 1)
+        stop = found.start() if found else len(text)
+        if end < stop <= start + most:  # a token that is whole with less overlap
+            word = LEVELS["word"].search(text, max(before, stop - most), start)
+            before, end = word.end() if word else start, stop
         pieces.append((before, start, end))
         floor, start = start, end
     return pieces

@@ -184,6 +184,16 @@ def test_pieces_tile_and_overlap(spark):
     assert found == {c: plain_boundary(t) for c, t in big.items()}
 
 
+def test_tokens_that_fit_a_piece_stay_whole():
+    for n in (1500, 1750, 1950, 2003):
+        for head in ("some words before. ", "word " * 90, "a\n\nb "):
+            text = head + "x" * n + " and words after it" * 40
+            assert splitting.boundary_of(text) == "word"
+            pieces = splitting.cut_text(text)
+            assert any("x" * n in text[start:end] for _, start, end in pieces), (n, head)
+            assert "".join(text[start:end] for _, start, end in pieces) == text and all(end - before <= 2003 for before, _, end in pieces)
+
+
 def test_files_are_cut_by_ranges(spark, tmp_path):
     text = "\n\n".join(t for t in odd_texts() if "\x1c" not in t)
     (tmp_path / "a.txt").write_bytes(text.encode())
