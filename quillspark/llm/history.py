@@ -6,7 +6,8 @@ blocks, and for each choice of three blocks a table is keyed by their bits
 blocks, so they meet in some table; a meeting is verified by counting bits.
 Accepted fingerprints are appended to the tables in the shared folder,
 partitioned by a hash of the key: a batch reads the partitions that its own
-keys fall into, not the history.
+keys fall into. With 16 partitions and 20 keys a fingerprint these are all of
+them but for a batch of a few files, so a step reads the whole stored history.
 
 A table entry whose key is shared by very many fingerprints is replaced by
 entries with longer keys (a quarter of the other bits each, one of which
