@@ -10,7 +10,7 @@ Equal fingerprints are collapsed to one before any of this.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -27,7 +27,7 @@ CROWDED = 200
 DEPTH = 2
 #: Links that one task may hold to settle them in order.
 FEW_LINKS = 200_000
-#: Candidate pairs of one batch beyond which its caller is asked to take it in halves.
+#: Meetings under keys that stay crowded, beyond ``CROWDED`` for each entry, from which a batch is taken in halves.
 MOST_PAIRS = 20_000_000
 
 
@@ -78,30 +78,31 @@ def longer(df: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def pairs_within(entries: DataFrame, halvable: bool) -> DataFrame | None:
-    """``(fp, other, other_seq, known)``: rows of the batch and earlier ones within three bits.
+    """``(fp, other, other_seq, other_id)``: rows of the batch and rows before them within three bits.
 
-    ``entries``: (fp, seq, known, mask, key); ``known`` rows were accepted
-    before the batch. None: too many, take the batch in halves.
+    ``entries``: (fp, seq, id, mask, key); those with an id were accepted
+    before the batch and stand before all of it, whatever their seq. Equal
+    seq is ordered by fp. None: too many meet in dense groups, take the
+    batch in halves.
     """
     found, masks = [], block_masks()
     for depth in range(DEPTH + 1):
-        sizes = entries.groupBy("mask", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("known")).alias("fresh")).where("n > 1 and fresh > 0")
-        sizes = cut(sizes)
-        crowded = sizes.where(F.col("n") > CROWDED)
-        more = depth < DEPTH and crowded.limit(1).count() > 0
-        here = sizes.where(F.col("n") <= CROWDED) if more else sizes
-        if halvable and (here.agg(F.sum(F.col("fresh") * F.col("n"))).first()[0] or 0) > MOST_PAIRS:
+        sizes = cut(entries.groupBy("mask", "key").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("fresh")).where("n > 1 and fresh > 0"))
+        dense = F.when(F.col("n") > CROWDED, F.col("fresh") * F.col("n"))
+        crowd, fresh = sizes.agg(F.sum(dense), F.sum("fresh")).first()
+        more = depth < DEPTH and crowd is not None
+        if halvable and not more and (crowd or 0) > MOST_PAIRS + CROWDED * (fresh or 0):
             return None
+        here = sizes.where(F.col("n") <= CROWDED) if more else sizes
         mine = entries.join(here.select("mask", "key"), ["mask", "key"], "left_semi")
-        late = mine.where(~F.col("known"))
-        early = mine.select("mask", "key", F.col("fp").alias("other"), F.col("seq").alias("other_seq"), F.col("known").alias("other_known"))
-        found.append(
-            late.join(early, ["mask", "key"])
-            .where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE) & (F.col("other_seq") < F.col("seq")))
-            .select("fp", "other", "other_seq", "other_known")
-        )
+        late = mine.where("id is null").select("mask", "key", "fp", "seq")
+        early = mine.select("mask", "key", F.col("fp").alias("other"), F.col("seq").alias("other_seq"), F.col("id").alias("other_id"))
+        before = F.col("other_id").isNotNull() | (F.col("other_seq") < F.col("seq")) | ((F.col("other_seq") == F.col("seq")) & (F.col("other") < F.col("fp")))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE
+        found.append(late.join(early, ["mask", "key"]).where(near & before).select("fp", "other", "other_seq", "other_id"))
         if not more:
             break
+        crowded = sizes.where(F.col("n") > CROWDED)
         entries = longer(entries.join(crowded.select("mask", "key"), ["mask", "key"], "left_semi"), masks)
         masks = [k for m in masks for k in longer_masks(m)]
     return reduce(DataFrame.unionAll, found).distinct()
@@ -138,13 +139,13 @@ def _refused_in_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
                     refused.add(fp)
         yield pd.DataFrame({"fp": list(refused)}, dtype="int64")
 
-    ordered = links.join(nodes, "fp").select("fp", "other", "seq").repartition(1).sortWithinPartitions("seq")
+    ordered = links.join(nodes, "fp").select("fp", "other", "seq").repartition(1).sortWithinPartitions("seq", "fp")
     return ordered.select("fp", "other").mapInPandas(walk, "fp bigint")
 
 
 def link_distinct(nodes: DataFrame) -> DataFrame:
     """``(fp, other, distance)``: for distinct ``(fp, seq)``, pairs within three bits, ``other`` being the earlier by seq."""
-    entries = cut(keyed(nodes.select("fp", "seq").withColumn("known", F.lit(False)), block_masks()))
+    entries = cut(keyed(nodes.select("fp", "seq", F.lit(None).cast("string").alias("id")), block_masks()))
     found = pairs_within(entries, halvable=False)
     return found.select("fp", "other", F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).alias("distance"))
 
@@ -167,10 +168,87 @@ def near_classes(df: DataFrame, id_col: str, fp_col: str, order_col: str | None
     return members.select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct(), named
 
 
+Near = Callable[[DataFrame], DataFrame | None]
+
+
+def judged(rows: DataFrame, near: Near | None = None, add: Callable[[DataFrame], object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Judge ``(id, fp, seq)`` in order of seq: refused if within three bits of a row accepted before, else accepted.
+
+    ``near`` gives, for keys (mask, key), the entries (id, fp, seq, mask,
+    key) accepted in earlier runs; they stand before all rows here. ``add``
+    is handed the accepted before any later row is judged.
+
+    Returns the accepted ``(id, fp, seq)``, one for each accepted
+    fingerprint, and matches ``(id, match_id)`` of every other row with all
+    accepted rows before it within three bits. An earlier entry with the
+    same id is the row itself (a run that is repeated) and no match. Rows
+    with a null id, fp or seq are left out.
+    """
+    rows = cut(rows.select("id", "fp", "seq").where("id is not null and fp is not null and seq is not null").distinct())
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("seq", "id")).alias("r")).select("fp", "r.seq", F.col("r.id").alias("first_id")))
+    return _judged(rows, nodes, near, add)
+
+
+def _judged(rows: DataFrame, nodes: DataFrame, near: Near | None, add: Callable[[DataFrame], object] | None) -> tuple[DataFrame, DataFrame]:
+    kind = rows.schema["id"].dataType
+    mine = keyed(nodes.select("fp", "seq", F.lit(None).cast(kind).alias("id")), block_masks())
+    before = near(mine) if near else None
+    if before is not None:
+        own = nodes.select(F.col("fp").alias("_fp"), F.col("first_id").alias("_id"))
+        again = before.join(own, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_anti")
+        mine = mine.unionByName(again.select("fp", "seq", "id", "mask", "key"))
+    pairs = pairs_within(cut(mine), halvable=add is not None)
+    if pairs is None:
+        low, middle, high = nodes.selectExpr("min(seq)", "percentile_approx(seq, 0.5)", "max(seq)").first()
+        if low == high:
+            pairs = pairs_within(cut(mine), halvable=False)
+        else:
+            middle = min(max(middle, low), high - 1)
+            early, late = cut(nodes.where(F.col("seq") <= middle)), cut(nodes.where(F.col("seq") > middle))
+            old = cut(rows.join(early.select("fp"), "fp", "left_semi"))
+            first, matches = _judged(old, early, near, add)
+            second, others = _judged(cut(rows.join(early.select("fp"), "fp", "left_anti")), late, near, add)
+            return cut(first.unionByName(second)), cut(matches.unionByName(others).unionByName(_late_copies(old, second)).distinct())
+    pairs = cut(pairs)
+    refused = pairs.where("other_id is not null").select("fp").distinct()
+    inner = pairs.where("other_id is null")
+    left = nodes.join(refused, "fp", "left_anti")
+    free = inner.join(refused, "fp", "left_anti").join(refused.withColumnRenamed("fp", "other"), "other", "left_anti")
+    kept = settle(left.select("fp", "seq"), cut(free.select("fp", "other")))
+    accepted = cut(nodes.join(kept.select("fp"), "fp", "left_semi").select(F.col("first_id").alias("id"), "fp", "seq"))
+    if add:
+        add(accepted)
+    to = accepted.select(F.col("fp").alias("other"), F.col("id").alias("match_id"), F.col("seq").alias("other_seq"))
+    ways = inner.select("fp", "other").unionByName(inner.select(F.col("other").alias("fp"), F.col("fp").alias("other"))).unionByName(nodes.select("fp", F.col("fp").alias("other")))
+    within = rows.join(ways.join(to, "other"), "fp").where(_later()).select("id", "match_id")
+    known = rows.join(pairs.where("other_id is not null").select("fp", F.col("other_id").alias("match_id")), "fp").select("id", "match_id")
+    return accepted, cut(within.unionByName(known).where("id != match_id").distinct())
+
+
+def _later() -> Column:
+    """Whether a row (seq, fp, id) comes after (other_seq, other, match_id)."""
+    return F.struct(F.col("other_seq"), F.col("other"), F.col("match_id")) < F.struct(F.col("seq"), F.col("fp"), F.col("id"))
+
+
+def _late_copies(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Matches of rows with accepted ones of a later half that yet come before them: copies of an early refused fingerprint."""
+    late = keyed(accepted.select(F.col("fp").alias("other"), F.col("id").alias("match_id"), F.col("seq").alias("other_seq"), "fp"), block_masks()).drop("fp")
+    copies = keyed(rows.groupBy("fp").agg(F.max("seq").alias("last")), block_masks())
+    near = copies.join(late, ["mask", "key"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE) & (F.col("other_seq") <= F.col("last")))
+    return rows.join(near.select("fp", "other", "match_id", "other_seq").distinct(), "fp").where(_later()).select("id", "match_id")
+
+
+def entries_of(known: DataFrame) -> Near:
+    """Accepted rows ``(id, fp)`` of earlier runs, as what ``judged`` looks up; for tables that are read in full anyway."""
+    held = keyed(known.select("id", "fp", F.lit(0).cast("bigint").alias("seq")).where("id is not null and fp is not null").distinct(), block_masks())
+    return lambda mine: held.join(mine.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
+
+
 def greedy_keep(df: DataFrame, id_col: str, fp_col: str, order_col: str) -> DataFrame:
     """``(id, status)``: in order, ``kept`` unless within three bits of a row kept before, then ``duplicate``.
 
-    Rows with a null fingerprint, id or order have no row.
+    Rows with a null fingerprint, id or order have no row; an id that stands
+    with several orders has a row for each.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(order_col).alias("seq")).where("fp is not null and id is not null and seq is not null")
     rows = cut(rows)  # fingerprints may be costly, and are used twice

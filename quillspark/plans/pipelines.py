@@ -1,4 +1,7 @@
-"""The pipelines: documents in, scored and linked chunks out, as lazy plans."""
+"""The pipelines: documents in, scored and linked chunks out.
+
+Chunking is a lazy plan; the search for duplicates runs jobs while it is built.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 from ..config import BATCH, LAYOUT, PAGES, SINGLE, Chunking, Parity
 from ..functions.fingerprint import as_bits, simhash
 from ..functions.text import cleaned_markdown, normalised_layout, stripped, tokens_by_length, tokens_by_quarter, tokens_by_words, without_waste
-from ..operators import annotate, blocks, evaluate, hamming, links, merge, sections, toc
+from ..operators import annotate, block_store, blocks, evaluate, hamming, links, merge, sections, toc
+from ..operators.block_store import BlockStore
 from ..session import cut
 
 
@@ -29,26 +33,33 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("file_id", links.stable_uuid(F.col("path"), F.col("seq").cast("string"))) if "file_id" not in docs.columns else docs
 
 
-def screened(docs: DataFrame, known: DataFrame | None = None, on_duplicate: str = "skip") -> DataFrame:
-    """Adds ``simhash`` and ``status`` (ok, skipped, failed) and ``reason``; judged in order of ``seq``.
+def screened(docs: DataFrame, known: DataFrame | None = None, on_duplicate: str = "skip", store: BlockStore | None = None) -> DataFrame:
+    """Adds ``simhash``, ``status`` (ok, skipped, failed), ``reason`` and ``matches``; judged in order of ``seq``.
 
     ``docs``: path, markdown, seq; a null markdown has failed. ``known``
-    holds (file_id, simhash) of earlier runs. ``on_duplicate='keep'`` marks
-    nothing as skipped.
+    holds (file_id, simhash) of earlier runs, all of which count as
+    accepted; instead of it ``store`` holds them as block tables, which are
+    read by key only, and takes up what is accepted now. ``matches`` are the
+    file ids of all accepted before within three bits, empty for none.
+    ``on_duplicate='keep'`` marks nothing as skipped.
     """
     marked = cut(_identified(docs).withColumn("simhash", simhash(F.col("markdown"))))
-    usable = marked.where("markdown is not null").select(F.col("file_id").alias("id"), as_bits(F.col("simhash")).alias("fp"), F.col("seq").cast("bigint").alias("seq"))
-    if known is not None:
-        before = known.select(F.col("file_id").alias("id"), as_bits(F.col("simhash")).alias("fp"), F.lit(-(2**62)).cast("bigint").alias("seq"))
-        usable = before.unionByName(usable)
-    kept = hamming.greedy_keep(usable, "id", "fp", "seq").withColumnRenamed("id", "file_id")
-    out = marked.join(kept.withColumnRenamed("status", "_kept"), "file_id", "left")
-    status = F.when(F.col("markdown").isNull(), "failed").when((F.col("_kept") == "duplicate") & F.lit(on_duplicate == "skip"), "skipped").otherwise("ok")
+    usable = marked.where("markdown is not null").select(F.col("file_id").cast("string").alias("id"), as_bits(F.col("simhash")).alias("fp"), F.col("seq").cast("bigint").alias("seq"))
+    if store is not None:
+        _, matches = block_store.screened(store, usable)
+    else:
+        near = known and hamming.entries_of(known.select(F.col("file_id").cast("string").alias("id"), as_bits(F.col("simhash")).alias("fp")))
+        _, matches = hamming.judged(usable, near)
+    named = matches.groupBy("id").agg(F.array_sort(F.collect_set("match_id")).alias("matches")).withColumnRenamed("id", "file_id")  # accepted within three bits of one: few
+    out = marked.join(named, "file_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<string>")))
+    status = F.when(F.col("markdown").isNull(), "failed").when((F.size("matches") > 0) & F.lit(on_duplicate == "skip"), "skipped").otherwise("ok")
     reason = F.when(status == "failed", "no text").when(status == "skipped", "duplicate")
-    return out.withColumn("status", status).withColumn("reason", reason).drop("_kept")
+    return out.withColumn("status", status).withColumn("reason", reason)
 
 
-def process(docs: DataFrame, mode: str = "batch", known: DataFrame | None = None, on_duplicate: str = "skip", parity: Parity | None = None, settings: Chunking | None = None) -> tuple[DataFrame, DataFrame]:
+def process(
+    docs: DataFrame, mode: str = "batch", known: DataFrame | None = None, on_duplicate: str = "skip", parity: Parity | None = None, settings: Chunking | None = None, store: BlockStore | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The main pipeline: (files with status, evaluated and linked chunks).
 
     ``mode``: ``single`` or ``batch``, which differ in the budget and in
@@ -56,7 +67,7 @@ def process(docs: DataFrame, mode: str = "batch", known: DataFrame | None = None
     """
     parity = parity or Parity()
     settings = settings or (SINGLE if mode == "single" else BATCH)
-    files = cut(screened(docs, known, on_duplicate))
+    files = cut(screened(docs, known, on_duplicate, store))
     usable = files.where("status = 'ok'")
     heading_only = mode == "batch" and parity.batch_contents_heading_only
     body = usable.select("file_id", toc.without_contents(F.col("markdown"), heading_only).alias("markdown"))

@@ -6,28 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
+from ..operators.block_store import BlockStore
 from ..plans import pipelines
 from ..sources.sinks import append, chunks_table, files_table
 
 
-def _known(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where("simhash != ''").select("file_id", "simhash")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-
-
-def ingest(batch: DataFrame, files_path: str, chunks_path: str) -> DataFrame:
+def ingest(batch: DataFrame, files_path: str, chunks_path: str, store_path: str | None = None) -> DataFrame:
     """Process a batch of documents (path, markdown, seq) and append its files and chunks; returns the results.
 
-    Chunks are written before files: a run that breaks off between the two
-    leaves no file that would block its own repetition, and ids are stable,
-    so a repeated batch writes the same ids.
+    Fingerprints of all accepted files lie in block tables at
+    ``store_path`` (beside the table of files), of which a batch reads the
+    buckets of its own keys. Files are written last: a run that breaks off
+    before leaves its fingerprints in the tables, where the repeated batch
+    meets them under its own ids, which are stable, and so is accepted again.
     """
-    spark = batch.sparkSession
-    files, chunks = pipelines.process(batch, known=_known(spark, files_path))
+    store = BlockStore(batch.sparkSession, store_path or f"{files_path.rstrip('/')}_fingerprints")
+    files, chunks = pipelines.process(batch, store=store)
     done = files.where("status = 'ok'")
     append(chunks_table(chunks), chunks_path)
     meta = done if "metadata" in done.columns else done.withColumn("metadata", F.create_map().cast("map<string,string>"))

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from quillspark.operators import annotate, blocks, hamming, links, merge, sections, toc
+from quillspark.operators import annotate, block_store, blocks, evaluate, hamming, links, merge, sections, toc
 from quillspark.plans import pipelines
 from quillspark.sources import readers, sinks
 from quillspark.streaming import incremental
@@ -233,3 +235,46 @@ def test_sources(spark, tmp_path):
     assert [n.primary_description for n in notes] == ["d1"]
     (tmp_path / "log.txt").write_text('start\n{"chunk_id": "c", "chunk_text": "t", "metadata": {"TAGS": ["a"], "QUESTIONS": ["q"], "ANSWERS": []}}\n')
     assert readers.enrichment_lines(spark, f"{tmp_path}/log.txt").first().metadata.TAGS == ["a"]
+
+
+def brute_greedy(rows, known=()):
+    """Accepted ids and matches of (id, fp) in order, all known being accepted."""
+    kept, out = list(known), set()
+    for i, v in rows:
+        near = {n for n, w in kept if (v ^ w).bit_count() <= 3}
+        out |= {(i, n) for n in near}
+        if not near:
+            kept.append((i, v))
+    return {i for i, _ in kept} - {i for i, _ in known}, out
+
+
+def test_known_are_accepted(spark):
+    a, b, n = 0, 0b111, 0b111111  # a and b 3 bits apart, n 3 from b and 6 from a
+    known = spark.createDataFrame([("A", a), ("B", b)], "id string, fp long")
+    accepted, matches = hamming.judged(spark.createDataFrame([("N", n, 1), ("M", 1 << 40 | 1 << 50 | 1 << 60 | 1 << 20, 2)], "id string, fp long, seq long"), hamming.entries_of(known))
+    assert {r.id for r in accepted.collect()} == {"M"} and {tuple(r) for r in matches.collect()} == {("N", "B")}
+
+
+@pytest.mark.parametrize("halved", [False, True])
+def test_store_equals_brute_force_batch_by_batch(spark, tmp_path, monkeypatch, halved):
+    if halved:
+        monkeypatch.setattr(hamming, "CROWDED", 2)
+        monkeypatch.setattr(hamming, "DEPTH", 0)
+        monkeypatch.setattr(hamming, "MOST_PAIRS", 20)
+    r = random.Random(11)
+    base = [r.getrandbits(64) - 2**63 for _ in range(12)]
+    rows = [(f"f{i:03}", (base[0] if r.random() < 0.3 else r.choice(base)) ^ sum(1 << k for k in r.sample(range(60), r.choice([0, 0, 1, 2, 3, 4, 6])))) for i in range(180)]
+    kept, want = brute_greedy([(i, v % 2**64) for i, v in rows])
+    got, names = set(), set()
+    for at in range(0, len(rows), 60):
+        store = block_store.BlockStore(spark, f"{tmp_path}/fp", bucket_rows=100)  # opened again for each batch
+        batch = spark.createDataFrame([(i, v, at + k) for k, (i, v) in enumerate(rows[at : at + 60])], "id string, fp long, seq long").withColumn("mask", F.lit("clash"))
+        accepted, matches = block_store.screened(store, batch)
+        names |= {x.id for x in accepted.collect()}
+        got |= {tuple(x) for x in matches.collect()}
+    assert names == kept and got == want and store.buckets > 1
+    again, matches = block_store.screened(store, batch)  # a batch that is repeated
+    assert {x.id for x in again.collect()} == names & {i for i, _ in rows[120:]}
+    one = hamming.keyed(spark.createDataFrame([(base[1],)], "fp long"), hamming.block_masks())
+    assert 0 < store.rows_read(one) < store.accepted().count() * 20
+    assert block_store.screened(block_store.BlockStore(spark, f"{tmp_path}/none"), batch.limit(0))[1].count() == 0
