@@ -43,10 +43,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_files(spark: SparkSession, folder: str) -> DataFrame:
     files, matches = history.deduplicate(_table(spark, folder, "files"))
-    named = matches.groupBy("file_id").agg(F.array_sort(F.collect_set("match_id")).alias("match_ids"))
+    compared = history.agreement(matches, _table(spark, folder, "chunks"))
+    same = F.array_sort(F.collect_set(F.when(F.col("same_text"), F.col("match_id"))))
+    named = compared.groupBy("file_id").agg(F.array_sort(F.collect_set("match_id")).alias("match_ids"), same.alias("same_text_ids"))
     return files.select("file_id", "batch_no", "seq", "accepted").join(named, "file_id", "left")
 
 
+def p3_batches(spark: SparkSession, folder: str) -> DataFrame:
+    _, done = history.judge_all(_table(spark, folder, "files"), counted=True)
+    return history.figures(done, spark)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.natural_boundaries(_table(spark, folder, "chunks"))
 
@@ -75,7 +82,7 @@ def p7_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_text, p2_found, p2_chunks, p2_files, p3_found, p3_files, p4_found, p4_pieces, p5_ids, p6_containers, p7_found, p7_text)
+    for f in (p1_found, p1_text, p2_found, p2_chunks, p2_files, p3_found, p3_files, p3_batches, p4_found, p4_pieces, p5_ids, p6_containers, p7_found, p7_text)
 }
 
 _WS = "[\\t\\n\\v\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"

@@ -135,12 +135,39 @@ def test_batches_and_halves_give_the_same(spark, monkeypatch):
     rows = history_rows(5, 200)
     frame = spark.createDataFrame([(n, t, s, 0) for s, n, t in rows], "file_id string, simhash string, seq long, batch_no int")
     want, _ = brute_history(rows)
+    monkeypatch.setattr(hamming, "CROWDED", 2)
+    monkeypatch.setattr(hamming, "DEPTH", 0)
     monkeypatch.setattr(hamming, "MOST_PAIRS", 300)
-    _, matches = history.deduplicate(frame, shares=())
+    _, matches = history.deduplicate(frame)
     assert {tuple(r) for r in matches.select("file_id", "match_id").collect()} == want
     assert history.deduplicate(frame.limit(0))[1].count() == 0
 
 
+def test_batches_one_by_one_with_the_tables_opened_anew(spark, tmp_path):
+    rows = history_rows(9, 150)
+    want, refused = brute_history(rows)
+    got, verdicts = set(), []
+    for at in range(0, 150, 50):
+        batch = spark.createDataFrame([(n, t, s, s // 50) for s, n, t in rows[at : at + 50]], "file_id string, simhash string, seq long, batch_no int")
+        verdict, matches = history.History(spark, f"{tmp_path}/h").judge(batch)
+        got |= {tuple(r) for r in matches.select("file_id", "match_id").collect()}
+        verdicts += verdict.collect()
+    assert got == want and {r.file_id for r in verdicts if not r.accepted} == refused
+    assert sorted(r.file_id for r in verdicts) == sorted({n for _, n, _ in rows})
+    assert history.History(spark, f"{tmp_path}/h").verdicts().count() == len(verdicts)
+
+
+def test_steps_double_and_end_singly():
+    assert history.steps([(b, 10) for b in range(10)], 2) == [[0], [1], [2, 3], [4, 5, 6, 7], [8], [9]]
+    assert history.steps([(b, 10) for b in range(6)], 2) == [[0], [1], [2, 3], [4], [5]] and history.steps([], 3) == [] and history.steps([(7, 1)], 3) == [[7]]
+
+
+def test_texts_of_matches_are_compared(spark):
+    chunks = spark.createDataFrame([("a", "One, two."), ("a", "Three"), ("b", "three!"), ("b", "one two"), ("c", "four"), ("d", None)], "file_id string, content string")
+    pairs = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "a")], "file_id string, match_id string")
+    assert {r.file_id: r.same_text for r in history.agreement(pairs, chunks).collect()} == {"b": True, "c": False, "d": None}
+
+
 # --- problem 4 ---------------------------------------------------------------
 
 
