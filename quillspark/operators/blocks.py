@@ -24,8 +24,11 @@ BLOCKS = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.S
 
 
 def find_blocks(text: str | None) -> list[tuple[str, str, int, int]]:
-    """Special blocks and the prose between them; patterns are sought on their own, so blocks may overlap."""
-    if not text:
+    """Special blocks and the prose between them, stripped; patterns are sought on their own, so blocks may overlap.
+
+    A text of which nothing remains is one prose block as it stands; null has none.
+    """
+    if text is None:
         return []
     hits = sorted(((m.start(), n, m.end(), kind) for n, (kind, p, flags) in enumerate(PATTERNS) for m in re.finditer(p, text, flags)), key=lambda h: h[:2])
     out, end = [], 0
@@ -42,7 +45,7 @@ def find_blocks(text: str | None) -> list[tuple[str, str, int, int]]:
         end = stop
     if end < len(text):
         prose(end, len(text))
-    return out if hits else [(text, "prose", 0, len(text))]
+    return out or [(text, "prose", 0, len(text))]
 
 
 @F.pandas_udf(BLOCKS)
@@ -51,18 +54,6 @@ def exact_blocks(text: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, b, strict=True)) for b in find_blocks(t)] for t in text])
 
 
-_ALL = "(?m)" + "|".join(f"(?:{p})" for _, p, _ in PATTERNS[:3] + PATTERNS[4:])
-
-
-def plain_blocks(text: Column) -> Column:
-    """``array<struct<content, content_type>>`` in the JVM, for texts whose special blocks do not overlap."""
-    gaps = F.transform(F.split(text, _ALL, -1), lambda x: F.struct(stripped(x).alias("content"), F.lit("prose").alias("content_type")))
-    kind = lambda x: F.when(x.startswith("```"), "code").when(x.startswith("|"), "table").otherwise("math")
-    hits = F.transform(F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)), lambda x: F.struct(x.alias("content"), kind(x).alias("content_type")))
-    pairs = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(hits), F.array(g, F.get(hits, i))).otherwise(F.array(g))))
-    return F.filter(pairs, lambda b: (b["content"] != "") | (b["content_type"] != "prose"))
-
-
 def _packed(parts: Column, most: int, tokens: Callable[[Column], Column], glue: str, tail: str = "") -> Column:
     """Parts put together in order while the whole is within the budget; a part over it stands alone."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))

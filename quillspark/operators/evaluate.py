@@ -149,8 +149,10 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 
 def verdict_report(df: DataFrame) -> DataFrame:
-    """One row: the totals with maps of reasons and of content types."""
-    entries = lambda counted, key: counted.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(f"{key}s"))
-    reasons, kinds = entries(reason_counts(df), "reason"), entries(type_counts(df), "content_type")
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(verdict_totals(df)).join(one(reasons), "_one").join(one(kinds), "_one").drop("_one")
+    """``(part, name, value)``: the totals, the count of each reason of refusal and of each content type, a row each."""
+    totals = verdict_totals(df)
+    row = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    first = totals.select(F.explode(F.array(*[row("total", F.lit(c), F.col(c)) for c in totals.columns])).alias("r")).select("r.*")
+    reasons = reason_counts(df).select(F.lit("reason").alias("part"), F.col("reason").alias("name"), F.col("n").cast("double").alias("value"))
+    kinds = type_counts(df).select(F.lit("content_type").alias("part"), F.col("content_type").alias("name"), F.col("n").cast("double").alias("value"))
+    return first.unionByName(reasons).unionByName(kinds)

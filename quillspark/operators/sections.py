@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NUMBERED, heading_style, stripped, text_lines
+from ..functions.text import NUMBERED, bound, heading_style, stripped, text_lines
 
 
 def _at(line: Column, place: Column) -> Column:
@@ -28,42 +28,61 @@ def numeric_headings(text: Column) -> Column:
 def markdown_headings(text: Column, levels: int = 4) -> Column:
     """``array<struct<at, level, header>>`` of lines that begin with 1 to ``levels`` hashes, outside code fences."""
     mark = rf"^(#{{1,{levels}}})\s+(.*)$"
-    placed = F.transform(text_lines(text), lambda x, i: F.struct(i.alias("at"), stripped(x).alias("line")))
-    fences = F.transform(F.filter(placed, lambda x: x["line"].rlike(r"^(?:```|~~~)")), lambda x: x["at"])
-    found = F.filter(placed, lambda x: x["line"].rlike(mark) & (F.size(F.filter(fences, lambda f: f < x["at"])) % 2 == 0))
+    marked = lambda x: x["line"].rlike(r"^(?:```|~~~)") | x["line"].rlike(mark)
+    placed = F.filter(F.transform(text_lines(text), lambda x, i: F.struct(i.alias("at"), stripped(x).alias("line"))), marked)
+    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<struct<at:int,line:string>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fence = ~x["line"].startswith("#")
+        found = F.when(fence | acc["fenced"], acc["found"]).otherwise(F.concat(acc["found"], F.array(x)))
+        return F.struct((acc["fenced"] != fence).alias("fenced"), found.alias("found"))
+
     return F.transform(
-        found,
+        F.aggregate(placed, start, step, lambda acc: acc["found"]),
         lambda x: F.struct(x["at"].alias("at"), F.length(F.regexp_extract(x["line"], mark, 1)).alias("level"), F.regexp_extract(x["line"], mark, 2).alias("header")),
     )
 
 
+_SECTION = "struct<section_idx:int,section_header:string,section_level:int,parent_section:string,top_header:string,section_content:string,char_start:int,char_end:int>"
+
+
 def sections(df: DataFrame, headings: Column, text: str = "markdown") -> DataFrame:
     """One row for each section: ``section_idx, section_header, section_level, parent_section, top_header, section_content, char_start, char_end``.
 
     The heading line stays in the content. The parent is the live heading
     one level up, null where that level is absent; text before the first
     heading has no header. ``char_start`` counts the contents before. Null
-    texts have no section.
+    texts have no section. One fold over the headings, which keeps the live
+    ones, so each line is handled once.
     """
-    h, c = F.col("_heads"), F.col
     nothing = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("header"))
-    bounds = F.when((F.size(h) == 0) | (F.coalesce(F.get(h, F.lit(0))["at"], F.lit(0)) > 0), F.concat(F.array(nothing), h)).otherwise(h)
-
-    def section(b: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(c("_bounds"), i + 1)["at"], F.size("_lines"))
-        above = F.element_at(F.concat(F.array(nothing), F.filter(h, lambda x: (x["at"] < b["at"]) & (x["level"] < b["level"]))), -1)
-        top = F.element_at(F.concat(F.array(nothing), F.filter(h, lambda x: (x["at"] <= b["at"]) & (x["level"] == 1))), -1)
-        return F.struct(
-            i.alias("section_idx"), b["header"].alias("section_header"), b["level"].alias("section_level"),
-            F.when(above["level"] == b["level"] - 1, above["header"]).alias("parent_section"), top["header"].alias("top_header"),
-            F.array_join(F.slice("_lines", b["at"] + 1, end - b["at"]), "\n").alias("section_content"), b["at"].alias("at"),
-        )
-
-    cut = df.where(F.col(text).isNotNull()).withColumn("_lines", text_lines(c(text))).withColumn("_heads", headings).withColumn("_bounds", bounds)
-    cut = cut.withColumn("_s", F.explode(F.transform("_bounds", section)))
-    before = F.aggregate(F.slice("_lines", F.lit(1), c("_s.at")), F.lit(0), lambda acc, x: acc + F.length(x) + 1) - c("_s.section_idx")
-    out = cut.select(*df.columns, "_s.*", before.alias("char_start"))
-    return out.withColumn("char_end", c("char_start") + F.length("section_content")).drop("at")
+    last = lambda live: F.element_at(F.concat(F.array(nothing), live), -1)
+
+    def folded(held: Column) -> Column:
+        lines, h = held["lines"], held["heads"]
+        bounds = F.when((F.size(h) == 0) | (F.coalesce(F.get(h, F.lit(0))["at"], F.lit(0)) > 0), F.concat(F.array(nothing), h)).otherwise(h)
+        parts = lambda b: F.transform(b, lambda x, i: F.struct(x.alias("head"), (F.coalesce(F.get(b, i + 1)["at"], F.size(lines)) - x["at"]).alias("n"), i.alias("i")))
+        start = F.struct(
+            F.array().cast("array<struct<at:int,level:int,header:string>>").alias("live"), F.lit(None).cast("string").alias("top"), F.lit(0).alias("chars"), F.array().cast(f"array<{_SECTION}>").alias("done")
+        )
+
+        def step(acc: Column, x: Column) -> Column:
+            b = x["head"]
+            live = F.filter(acc["live"], lambda o: o["level"] < b["level"])
+            top = F.when(b["level"] == 1, b["header"]).otherwise(acc["top"])
+            content = F.array_join(F.slice(lines, b["at"] + 1, x["n"]), "\n")
+            end = acc["chars"] + F.length(content)
+            section = F.struct(
+                x["i"].alias("section_idx"), b["header"].alias("section_header"), b["level"].alias("section_level"), F.when(last(live)["level"] == b["level"] - 1, last(live)["header"]).alias("parent_section"),
+                top.alias("top_header"), content.alias("section_content"), acc["chars"].alias("char_start"), end.alias("char_end"),
+            )
+            kept = F.when(b["level"].isNull(), acc["live"]).otherwise(F.concat(live, F.array(b)))
+            return F.struct(kept.alias("live"), top.alias("top"), end.alias("chars"), F.concat(acc["done"], F.array(section)).alias("done"))
+
+        return bound(bounds, lambda b: F.aggregate(parts(b), start, step, lambda acc: acc["done"]))
+
+    found = df.where(F.col(text).isNotNull()).withColumn("_held", F.struct(text_lines(F.col(text)).alias("lines"), headings.alias("heads")))
+    return found.select(*df.columns, F.explode(bound(F.col("_held"), folded)).alias("_s")).select(*df.columns, "_s.*")
 
 
 def numeric_sections(df: DataFrame, text: str = "markdown") -> DataFrame:

@@ -151,16 +151,48 @@ def enriched(chunks: DataFrame, keys: DataFrame, doc: str = "doc_id", header: st
 
 
 def resolved(flat: DataFrame, doc: str = "file_id", order: str = "entry_no") -> DataFrame:
-    """Entries of a table with ``parent_no`` and ``parent_title``: by number where a parent id is given (of repeated ids the last), else the nearest earlier entry of a smaller level."""
+    """Entries of a table with ``parent_no`` and ``parent_title``, null at the root.
+
+    In a document where any entry has a number, by number (of repeated ones
+    the last); else the nearest earlier entry of a smaller level, whatever
+    the levels. Reads the deepest level of the table first.
+    """
+    deepest = flat.agg(F.max("level")).first()[0] or 0
+    numbered = flat.where("numeric_id is not null").groupBy(doc).agg(F.lit(True).alias("_numbered"))
     owners = flat.where("numeric_id is not null").groupBy(doc, F.col("numeric_id").alias("parent_id")).agg(F.max_by(F.struct(F.col(order).alias("no"), "title"), order).alias("_p"))
-    by_id = flat.join(owners, [doc, "parent_id"], "left")
-    levels = range(0, 10)
+    by_id = flat.join(numbered, doc, "left").join(owners, [doc, "parent_id"], "left")
     w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    seen = [F.max(F.when(F.col("level") <= k, F.col(order))).over(w).alias(f"_l{k}") for k in levels]
-    staged = by_id.select("*", *seen)
-    near = F.coalesce(*[F.when(F.col("level") == k + 1, F.col(f"_l{k}")) for k in levels])
-    titles = flat.select(doc, F.col(order).alias("_near"), F.col("title").alias("_near_title"))
-    joined = staged.withColumn("_near", F.when(F.col("parent_id").isNull() & F.col("numeric_id").isNull(), near)).join(titles, [doc, "_near"], "left")
-    return joined.select(
-        doc, order, "title", "level", "numeric_id", "parent_id", F.coalesce("_p.no", "_near").alias("parent_no"), F.coalesce("_p.title", "_near_title").alias("parent_title")
+    spot = lambda k: F.max_by(F.struct(F.col(order).alias("no"), "title"), F.when(F.col("level") <= k, F.col(order))).over(w).alias(f"_l{k}")
+    staged = by_id.select("*", *[spot(k) for k in range(deepest)])
+    held = lambda k: F.when(F.col(f"_l{k}.no").isNotNull() & (F.col("level") == k + 1), F.col(f"_l{k}"))
+    near = F.coalesce(*[held(k) for k in range(deepest)]) if deepest else F.lit(None).cast("struct<no:int,title:string>")
+    parent = F.when(F.col("_numbered"), F.col("_p")).otherwise(near)
+    return staged.withColumn("_up", parent).select(doc, order, "title", "level", "numeric_id", "parent_id", F.col("_up.no").alias("parent_no"), F.col("_up.title").alias("parent_title"))
+
+
+def nested(flat: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``(doc, contents)``: each document's entries (from ``parsed``) as JSON, every entry with its children under it.
+
+    Built from the deepest level up; a document's table of contents is one row.
+    """
+    shown = ["title", "page", "level", "numeric_id", "parent_id", "full_path"]
+    rows = flat.withColumn("_depth", F.size(F.split("full_path", " > ", -1))).withColumn("_json", F.lit(None).cast("string"))
+    entry = lambda kids: F.concat(
+        F.regexp_replace(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}), r"\}$", ""), F.lit(',"children":['), F.coalesce(kids, F.lit("")), F.lit("]}")
     )
+    joined = lambda: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_no", "_json"))), lambda x: x["_json"]), ",")
+    ups = flat.select(doc, "entry_no", "parent_idx")
+    heights = [r[0] for r in rows.select("_depth").distinct().collect()]  # levels of nesting
+    done = None
+    for depth in sorted(heights, reverse=True):
+        level = rows.where(F.col("_depth") == depth).drop("_json")
+        if done is not None:
+            kids = done.groupBy(doc, F.col("parent_idx").alias("entry_no")).agg(joined().alias("_kids"))
+            level = level.join(kids, [doc, "entry_no"], "left")
+        else:
+            level = level.withColumn("_kids", F.lit(None).cast("string"))
+        done = level.select(doc, "entry_no", entry(F.col("_kids")).alias("_json")).join(ups, [doc, "entry_no"])
+        roots = done.where("parent_idx is null") if depth == 1 else None
+    if done is None:
+        return flat.select(doc, F.lit("[]").alias("contents")).limit(0)
+    return roots.groupBy(doc).agg(F.concat(F.lit("["), joined(), F.lit("]")).alias("contents"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .config import BATCH, SINGLE
 from .functions import fingerprint, text
 from .operators import annotate, blocks, evaluate, hamming, links, merge, sections, toc
@@ -75,17 +76,13 @@ def _scored_sql(table: str, content: str, header: str, extra: str) -> str:
         WHEN share < 0.30 AND NOT contains(head, 'contents') AND bars > 5 AND bars::DOUBLE / len(ls) > 0.4 THEN 8 WHEN share < 0.30 THEN 9 ELSE 10 END AS rule FROM c)
     SELECT {extra}, rule IN (7, 8, 10) AS should_use,
         CASE rule WHEN 1 THEN 'Empty or image-only' WHEN 2 THEN 'Header filter: ' || head WHEN 3 THEN 'Forbidden prefix' WHEN 4 THEN 'Citation/Link chunk' WHEN 5 THEN 'Metadata keyword detected'
-            WHEN 6 THEN 'Detected Table of Contents' WHEN 7 THEN 'Source code block' WHEN 8 THEN 'Useful data table' WHEN 9 THEN 'Low alpha' ELSE 'OK' END AS reason,
+            WHEN 6 THEN 'Detected Table of Contents' WHEN 7 THEN 'Source code block' WHEN 8 THEN 'Useful data table' WHEN 9 THEN printf('Low alpha (%.2f%%)', share * 100) ELSE 'OK' END AS reason,
         CASE WHEN rule IN (1, 2, 4, 5, 9) THEN 'metadata' WHEN rule = 3 THEN 'other' WHEN rule = 6 THEN 'toc' WHEN rule = 7 THEN 'code' WHEN rule = 8 THEN 'table' ELSE 'main_content' END AS content_type,
         CASE rule WHEN 7 THEN 85 WHEN 8 THEN 70 WHEN 9 THEN 20 WHEN 10 THEN least(100, 50 + CASE WHEN n BETWEEN 400 AND 1200 THEN 25 WHEN n BETWEEN 200 AND 2000 THEN 10 ELSE 0 END
             + CASE WHEN share > 0.75 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(bare, '^\\p{{Lu}}') AND regexp_matches(bare, '[.!?]$') THEN 10 ELSE 0 END + CASE WHEN hl > 3 THEN 5 ELSE 0 END) ELSE 0 END::DOUBLE AS quality_score
     FROM d"""
 
 
-def _plain_reason(df: DataFrame) -> DataFrame:
-    return df.withColumn("reason", F.when(F.col("reason").startswith("Low alpha ("), "Low alpha").otherwise(F.col("reason")))
-
-
 _EVALUATED = _scored_sql("chunks", "content", "section_header", "chunk_id, created_at")
 
 
@@ -102,7 +99,7 @@ def quality_by_source(spark: SparkSession, folder: str) -> DataFrame:
 @_query(_EVALUATED)
 def eval_p1(spark: SparkSession, folder: str) -> DataFrame:
     judged = evaluate.scored(_chunks(spark, folder).select("chunk_id", "created_at", "content", "section_header"))
-    return _plain_reason(judged.select("chunk_id", "created_at", "evaluation.*"))
+    return judged.select("chunk_id", "created_at", "evaluation.*")
 
 
 @_query(
@@ -115,8 +112,7 @@ def eval_p1_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(f"WITH v AS ({_EVALUATED}) SELECT reason, count(*) AS n FROM v WHERE NOT should_use GROUP BY reason")
 def eval_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counted = evaluate.reason_counts(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
-    return _plain_reason(counted).groupBy("reason").agg(F.sum("n").alias("n"))
+    return evaluate.reason_counts(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
 
 
 @_query(f"WITH v AS ({_EVALUATED}) SELECT content_type, count(*) AS n FROM v GROUP BY content_type")
@@ -124,7 +120,12 @@ def eval_content_type_dist(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.type_counts(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
 
 
-@_query()
+@_query(
+    f"""WITH v AS ({_EVALUATED}), t AS (SELECT count(*)::DOUBLE AS total, (count(*) FILTER (should_use))::DOUBLE AS accepted, (count(*) FILTER (NOT should_use))::DOUBLE AS rejected,
+        count(*) FILTER (should_use) * 100.0::DOUBLE / count(*) AS acceptance_rate, coalesce(round(avg(CASE WHEN should_use THEN quality_score END), 2), 0.0) AS average_quality_score FROM v)
+    SELECT 'total' AS part, name, value FROM (UNPIVOT t ON total, accepted, rejected, acceptance_rate, average_quality_score INTO NAME name VALUE value)
+    UNION ALL SELECT 'reason', reason, count(*)::DOUBLE FROM v WHERE NOT should_use GROUP BY reason UNION ALL SELECT 'content_type', content_type, count(*)::DOUBLE FROM v GROUP BY content_type"""
+)
 def eval_p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.verdict_report(evaluate.scored(_chunks(spark, folder).select("content", "section_header")))
 
@@ -162,61 +163,60 @@ def eval_p2(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("chunk_id", "created_at", "evaluation.*").drop("quality_score")
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::DOUBLE / length(text) END AS alpha_ratio FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::DOUBLE / length(text) END AS alpha_ratio FROM documents")
 def alpha_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", text.letter_share(F.col("text")).alias("alpha_ratio"))
+    return _documents(spark, folder).select("doc_id", text.letter_share(F.col("text")).alias("alpha_ratio"))
 
 
 @_query(
     f"""SELECT doc_id, greatest(1, (len(list_filter(regexp_split_to_array(text, '{_US}+'), lambda x: x <> '')) * 13) // 10)::INTEGER AS by_words,
-    (CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END)::INTEGER AS by_length, (length(text) // 4)::INTEGER AS by_quarter FROM documents WHERE text IS NOT NULL"""
+    (CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END)::INTEGER AS by_length, (length(text) // 4)::INTEGER AS by_quarter FROM documents"""
 )
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
-    return _documents(spark, folder).where("text is not null").select("doc_id", text.tokens_by_words(t).alias("by_words"), text.tokens_by_length(t).alias("by_length"), text.tokens_by_quarter(t).alias("by_quarter"))
+    return _documents(spark, folder).select("doc_id", text.tokens_by_words(t).alias("by_words"), text.tokens_by_length(t).alias("by_length"), text.tokens_by_quarter(t).alias("by_quarter"))
 
 
-@_query(
-    """SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#{1,4}[\\t\\n\\x0b\\f\\r ]+[^\\n]') THEN 'markdown'
-    WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\d+(\\.\\d+)*\\.?[\\t\\x0b\\f\\r ]+[^\\n]'))) > 0 THEN 'numeric' ELSE 'markdown' END AS style FROM documents WHERE text IS NOT NULL"""
-)
+@_query(f"SELECT doc_id, {oracles.STYLE} AS style FROM documents")
 def header_style(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", text.heading_style(F.col("text")).alias("style"))
+    return _documents(spark, folder).select("doc_id", text.heading_style(F.col("text")).alias("style"))
 
 
 @_query(
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, line_no, {_strip('line')} AS bare FROM l)
-    SELECT doc_id, line_no::INTEGER AS line_no, len(string_split(rtrim(regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.+)$', 1), '.'), '.'))::INTEGER AS level,
+    SELECT doc_id, line_no::INTEGER AS line_no, list_transform(string_split(rtrim(regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.+)$', 1), '.'), '.'), lambda p: coalesce(try_cast(p AS INTEGER)::VARCHAR, '?')).array_to_string('.') AS levels,
         regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s+(.+)$', 2) AS title FROM s WHERE regexp_matches(bare, '^\\d+(?:\\.\\d+)*\\.?\\s+[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]+$')"""
 )
 def numeric_headings(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(text.text_lines(F.col("text"))).alias("line_no", "line"))
+    lines = _documents(spark, folder).select("doc_id", F.posexplode(text.text_lines(F.col("text"))).alias("line_no", "line"))
     parsed = lines.select("doc_id", "line_no", text.numbered_heading(F.col("line")).alias("h")).where("h is not null")
-    return parsed.select("doc_id", "line_no", F.size("h.levels").alias("level"), "h.title")
+    levels = F.array_join(F.transform("h.levels", lambda x: x.cast("string")), ".", "?")
+    return parsed.select("doc_id", "line_no", levels.alias("levels"), "h.title")
 
 
-@_query()
+@_query(oracles.SENTENCE_COUNTS)
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
+    n = F.when(F.col("text").isNotNull(), F.size(text.sentences(F.col("text"))))
+    return _documents(spark, folder).select("doc_id", n.alias("n_sentences"))
 
 
-@_query()
+@_query(oracles.NORMALIZE_MD)
 def normalize_md(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", text.normalised_layout(F.col("text")).alias("markdown"))
 
 
-@_query()
+@_query(oracles.CLEAN_MD)
 def clean_md(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", text.cleaned_markdown(F.col("text")).alias("markdown"))
 
 
-@_query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[|\\-\\t\\n\\x0b\\f\\r ]+$')), chr(10)) AS markdown FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[|\\-\\t\\n\\x0b\\f\\r ]+$')), chr(10)) AS markdown FROM documents")
 def clean_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", text.without_rule_lines(F.col("text")).alias("markdown"))
+    return _documents(spark, folder).select("doc_id", text.without_rule_lines(F.col("text")).alias("markdown"))
 
 
-@_query()
+@_query(oracles.LINE_NOISE)
 def line_noise_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = _chunks(spark, folder).select("chunk_id", "created_at", text.without_waste(F.col("content"), F.col("content_type")).alias("content"))
     return rows.withColumn("estimated_tokens", text.tokens_by_words(F.col("content")))
@@ -229,79 +229,65 @@ def front_matter_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(
     """SELECT file_id, seq, regexp_extract(file_path, '[^/]*$') AS file_name, lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) AS suffix,
-    lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) NOT IN ('.pdf', '.txt') AS unsupported FROM files WHERE file_path IS NOT NULL"""
+    lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) NOT IN ('.pdf', '.txt') OR file_path IS NULL AS unsupported FROM files"""
 )
 def file_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    rows = readers.dispatched(_files(spark, folder).where("file_path is not null").select("file_id", "seq", F.col("file_path").alias("path")))
+    rows = readers.dispatched(_files(spark, folder).select("file_id", "seq", F.col("file_path").alias("path")))
     return rows.select("file_id", "seq", "file_name", "suffix", F.col("error").isNotNull().alias("unsupported"))
 
 
-@_query()
+@_query(oracles.MD_SECTIONS)
 def md_sections(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
     return sections.markdown_sections(docs).drop("markdown")
 
 
-@_query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT *, {_strip('line')} AS bare FROM l),
-    h AS (SELECT *, CASE WHEN regexp_matches(bare, '^\\d+(?:\\.\\d+)*\\.?\\s+[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]+$') THEN len(string_split(rtrim(regexp_extract(bare, '^(\\d+(?:\\.\\d+)*\\.?)\\s', 1), '.'), '.')) END AS lv FROM s),
-    r AS (SELECT *, sum(CASE WHEN lv IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS sec FROM h)
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS section_idx, max(lv)::INTEGER AS section_level, string_agg(line, chr(10) ORDER BY place) AS section_content FROM r GROUP BY doc_id, sec"""
-)
+@_query(oracles.NUM_SECTIONS)
 def num_sections(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
-    return sections.numeric_sections(docs).select("doc_id", "section_idx", "section_level", "section_content")
+    return sections.numeric_sections(docs).drop("markdown")
 
 
-@_query()
+@_query(oracles.STYLED_SECTIONS)
 def section_parents(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
     return sections.styled_sections(docs).select("doc_id", "section_idx", "section_header", "section_level", "parent_section", "top_header")
 
 
-@_query()
+@_query(oracles.SECTION_OFFSETS)
 def section_char_offsets(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", F.col("text").alias("markdown"))
     return sections.markdown_sections(docs, levels=3).select("doc_id", "section_idx", "char_start", "char_end")
 
 
-@_query()
+@_query(oracles.CONTENT_BLOCKS)
 def content_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text != ''").select("doc_id", F.posexplode(blocks.exact_blocks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
-
-
-@_query()
-def plain_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text != ''").select("doc_id", F.posexplode(blocks.plain_blocks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+    return _documents(spark, folder).select("doc_id", F.posexplode(blocks.exact_blocks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
 
 
-@_query()
+@_query(oracles.SENTENCES_HARD)
 def sentence_pieces_hard(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(blocks.split_sentences_hard(F.col("text"), 300)).alias("piece_idx", "content"))
+    return _documents(spark, folder).select("doc_id", F.posexplode(blocks.split_sentences_hard(F.col("text"), 300)).alias("piece_idx", "content"))
 
 
-@_query()
+@_query(oracles.SENTENCES_SUM)
 def sentence_pieces_sum(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(blocks.split_sentences_sum(F.col("text"), 300)).alias("piece_idx", "content"))
+    return _documents(spark, folder).select("doc_id", F.posexplode(blocks.split_sentences_sum(F.col("text"), 300)).alias("piece_idx", "content"))
 
 
-@_query()
+@_query(oracles.TABLE_PIECES)
 def table_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _chunks(spark, folder).where("content_type = 'table' and content is not null").select("chunk_id", "content").distinct()
+    tables = _chunks(spark, folder).where(F.col("content").rlike(r"(?md)^\|[-:| ]+\|[ \t]*$")).select("chunk_id", "content").distinct()
     return tables.select("chunk_id", F.posexplode(blocks.split_table(F.col("content"), 60)).alias("piece_idx", "content"))
 
 
-@_query(
-    """WITH g AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS flat FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(lower(text), 'İ'))
-    SELECT doc_id, greatest(length(flat) - 2, 1)::BIGINT AS n_grams FROM g"""
-)
+@_query(oracles.NGRAM_COUNTS)
 def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _documents(spark, folder).where("text is not null and not contains(lower(text), 'İ')")
-    return rows.select("doc_id", F.size(fingerprint.grams(F.col("text"))).cast("bigint").alias("n_grams"))
+    n = F.when(F.col("text").isNotNull(), F.size(fingerprint.grams(F.col("text"))).cast("bigint"))
+    return _documents(spark, folder).select("doc_id", n.alias("n_grams"))
 
 
-@_query()
+@_query(oracles.SIMHASH)
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", fingerprint.simhash(F.col("text")).alias("simhash"))
 
@@ -328,13 +314,13 @@ def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.near_classes(files, "file_id", "fp", "seq")[1]
 
 
-@_query()
+@_query(oracles.DEDUP_GREEDY)
 def dedup_greedy(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", fingerprint.as_bits(fingerprint.simhash(F.col("text"))).alias("fp"))
     return hamming.greedy_keep(docs, "doc_id", "fp", "doc_id").withColumnRenamed("id", "doc_id")
 
 
-@_query()
+@_query(oracles.DEDUP_STATUS)
 def dedup_status_summary(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_greedy(spark, folder).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -358,25 +344,35 @@ def toc_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return toc.contents_figures(_toc(spark, folder), "file_id")
 
 
-@_query(
-    """WITH o AS (SELECT file_id, numeric_id AS parent_id, arg_max(entry_no, entry_no) AS no, max(entry_no) AS m FROM toc_entries WHERE numeric_id IS NOT NULL GROUP BY ALL),
-    n AS (SELECT e.file_id, e.entry_no, max(p.entry_no) AS near FROM toc_entries e JOIN toc_entries p ON p.file_id = e.file_id AND p.entry_no < e.entry_no AND p.level < e.level
-        WHERE e.parent_id IS NULL AND e.numeric_id IS NULL GROUP BY ALL)
-    SELECT e.file_id, e.entry_no, coalesce(o.no, n.near)::INTEGER AS parent_no FROM toc_entries e LEFT JOIN o ON o.file_id = e.file_id AND o.parent_id = e.parent_id
-    LEFT JOIN n ON n.file_id = e.file_id AND n.entry_no = e.entry_no"""
-)
+@_query(oracles.TOC_PARENTS)
 def toc_parents(spark: SparkSession, folder: str) -> DataFrame:
     return toc.resolved(_toc(spark, folder)).select("file_id", "entry_no", F.col("parent_no").cast("int").alias("parent_no"))
 
 
-@_query()
+def _rendered(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of contents as text for each file, from its entries, between a title and a section."""
+    c = F.col
+    line = F.concat(
+        F.when(c("numeric_id").isNotNull(), F.concat("numeric_id", F.lit(" "))).otherwise(F.repeat(F.lit("- "), F.coalesce("level", F.lit(0)) + 1)),
+        F.coalesce("title", F.lit("")), F.when(c("page").isNotNull(), F.concat(F.lit(" ..... "), c("page").cast("string"))).otherwise(""),
+    )
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_no", line.alias("x")))), lambda e: e["x"]), "\n")
+    return _toc(spark, folder).groupBy("file_id").agg(F.concat(F.lit("# Volume\n\n## Table of Contents\n"), lines, F.lit("\n\n## Opening\nThe text begins here.")).alias("text"))
+
+
+@_query(oracles.TOC_LINES)
 def toc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return toc.parsed(_documents(spark, folder).select("doc_id", toc.contents(F.col("text")).alias("toc")), "toc")
+    return toc.parsed(_rendered(spark, folder).select("file_id", toc.contents(F.col("text")).alias("toc")), "toc", "file_id")
 
 
-@_query()
+@_query(oracles.TOC_REMOVED)
 def toc_removed(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select("doc_id", toc.without_contents(F.col("text")).alias("markdown"))
+    return _rendered(spark, folder).select("file_id", toc.without_contents(F.col("text")).alias("markdown"))
+
+
+@_query()
+def toc_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return toc.nested(toc_lines(spark, folder), "file_id")
 
 
 _KEYS = """k AS (SELECT file_id, entry_no, 0 AS k, title AS key, title, level, numeric_id, parent_id, full_path FROM toc_entries WHERE title IS NOT NULL
@@ -434,14 +430,14 @@ def chunk_links_file_style(spark: SparkSession, folder: str) -> DataFrame:
     return links.file_style_ids(rows, "file_id", ["chunk_index", "old_id"]).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
-@_query()
+@_query(oracles.MERGE_SHORT)
 def merge_short(spark: SparkSession, folder: str) -> DataFrame:
     rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
     rows = rows.withColumn("estimated_tokens", text.tokens_by_words(F.col("content")))
     return merge.merge_short(rows, "file_id", ["place", "chunk_id"], SINGLE.most_tokens, SINGLE.least_tokens)
 
 
-@_query()
+@_query(oracles.JOIN_SHORT)
 def join_short(spark: SparkSession, folder: str) -> DataFrame:
     rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
     rows = rows.withColumn("estimated_tokens", text.tokens_by_length(F.col("content")))
@@ -494,9 +490,9 @@ def pipeline_results(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def layout_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.process_layout(_as_files(spark, folder).where("markdown is not null").select("file_id", "markdown"))
+    return pipelines.process_layout(_as_files(spark, folder).select("file_id", "markdown"))
 
 
 @_query()
 def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.process_pages(_as_files(spark, folder).where("markdown is not null").select("file_id", "markdown"))
+    return pipelines.process_pages(_as_files(spark, folder).select("file_id", "markdown"))

@@ -33,13 +33,9 @@ def test_blocks():
     assert [(b[0], b[1]) for b in got] == [("before", "prose"), ("```\ncode\n```", "code"), ("mid", "prose"), ("$$x$$", "math"), ("| a |\n|--|\n| 1 |\n", "table"), ("end", "prose")]
     assert [b[1] for b in blocks.find_blocks("| a | b |\n|---|---|\n| 1 | 2 |\n")] == ["prose"]
     assert [b[1] for b in blocks.find_blocks("```\n$$x$$\n```")] == ["code", "math", "prose"]
-    assert blocks.find_blocks(None) == [] == blocks.find_blocks("")
-
-
-def test_plain_blocks_agree_where_nothing_overlaps(spark):
-    text = "before\n```\ncode\n```\nmid $$x$$\n| a |\n|--|\n| 1 |\nend"
-    got = spark.createDataFrame([(text,)], "t string").select(blocks.plain_blocks(F.col("t")).alias("b")).first().b
-    assert [(b.content, b.content_type) for b in got] == [(b[0], b[1]) for b in blocks.find_blocks(text)]
+    assert blocks.find_blocks(None) == [] and blocks.find_blocks("") == [("", "prose", 0, 0)] and blocks.find_blocks(" \n") == [(" \n", "prose", 0, 2)]
+    assert blocks.find_blocks("  hello \n") == [("hello", "prose", 0, 9)]
+    assert [b[1] for b in blocks.find_blocks("\\begin{align} x \\} y}\\end{align} so")] == ["math", "prose"]
 
 
 def test_splitters(spark):
