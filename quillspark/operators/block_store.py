@@ -4,8 +4,8 @@ A fingerprint has one row under each of the 20 masks of ``hamming``. Rows
 lie in buckets by a hash of mask and key. A batch of ``n`` fingerprints has
 ``20 * n`` keys and reads only the buckets of those, so it reads at most
 ``20 * n * bucket_rows`` rows, about, however long the history is. When the
-rows outgrow the buckets, the table is written anew with more of them, which
-doubles each time and so costs a constant share a row. Beyond
+rows outgrow the buckets, the table is written anew with four times as many,
+which costs a constant share a row. Beyond
 ``MOST_BUCKETS`` the buckets themselves grow.
 """
 
@@ -66,7 +66,7 @@ class BlockStore:
         needed = self.rows + fresh * len(block_masks())
         buckets = self.buckets
         while buckets < MOST_BUCKETS and needed > buckets * self.bucket_rows:
-            buckets *= 2
+            buckets *= 4
         new = keyed(accepted.select("id", "fp", "seq"), block_masks())
         if self._table is None or buckets > self.buckets:
             old, folder = self._table, f"b{buckets}-{uuid.uuid4().hex[:8]}"

@@ -215,7 +215,7 @@ def _judged(rows: DataFrame, nodes: DataFrame, near: Near | None, add: Callable[
     left = nodes.join(refused, "fp", "left_anti")
     free = inner.join(refused, "fp", "left_anti").join(refused.withColumnRenamed("fp", "other"), "other", "left_anti")
     kept = settle(left.select("fp", "seq"), cut(free.select("fp", "other")))
-    accepted = cut(nodes.join(kept.select("fp"), "fp", "left_semi").select(F.col("first_id").alias("id"), "fp", "seq"))
+    accepted = nodes.join(kept.select("fp"), "fp", "left_semi").select(F.col("first_id").alias("id"), "fp", "seq")
     if add:
         add(accepted)
     to = accepted.select(F.col("fp").alias("other"), F.col("id").alias("match_id"), F.col("seq").alias("other_seq"))
