@@ -29,9 +29,9 @@ from ..session import cut, shared_path
 
 _VERDICTS = "file_id string, seq bigint, batch_no int, fp bigint, accepted boolean, part int"
 #: Folders of the verdicts, by hash of the file id.
-PARTS = 64
-#: Batches at the end of a table of files that are judged one by one; those before are loaded in steps that double the history.
-SINGLY = 4
+PARTS = 16
+#: Batches at the end of a table of files that are judged one by one; those before are loaded in steps of up to so many times the history.
+SINGLY, STEP = 4, 4
 
 
 class History:
@@ -89,13 +89,13 @@ def first_rows(files: DataFrame) -> DataFrame:
 
 
 def steps(sizes: list[tuple[int, int]], singly: int) -> list[list[int]]:
-    """Batch numbers, in order, in the steps in which they are judged: each as large as all before it, the last ``singly`` alone."""
+    """Batch numbers, in order, in the steps in which they are judged: each ``STEP`` times as large as all before it, the last ``singly`` alone."""
     numbers = [b for b, _ in sizes]
     early, out, held, now, size = max(0, len(numbers) - singly), [], 0, [], 0
     for number, n in sizes[:early]:
         now.append(number)
         size += n
-        if size >= held:
+        if size >= STEP * held:
             out.append(now)
             held, now, size = held + size, [], 0
     return out + ([now] if now else []) + [[b] for b in numbers[early:]]
@@ -105,9 +105,9 @@ def judge_all(files: DataFrame, history: History | None = None, singly: int = SI
     """Judge a whole table of files, ``batch_no`` after ``batch_no``.
 
     The last ``singly`` batches are judged one by one; those before them, a
-    first load, in steps of whole batches that are as large as the history
-    so far, which changes no result and reads the history a few times in
-    all. The batch numbers must rise with seq; null ones come first.
+    first load, in steps of whole batches that are ``STEP`` times as large as the
+    history so far, which changes no result and reads the history a few
+    times in all. The batch numbers must rise with seq; null ones come first.
     Returns the history, which holds all verdicts, and for each step
     (first batch, last batch, verdicts, matches, rows stored before, rows
     read), the last two null unless ``counted``.
