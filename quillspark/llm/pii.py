@@ -4,7 +4,7 @@ Weak supervision. One pass over the texts gives candidate spans with the
 votes of regex and context labelers (``pii_spans.py``). Labelers of the
 gazetteer add votes from counts over the whole corpus: words that follow
 many given names, words that come before many such surnames, words that are
-also written in lower case. How often each labeler votes and errs is
+also written in lower case; words that stand before numbers of one kind. How often each labeler votes and errs is
 estimated by expectation-maximisation over the counts of vote patterns (a
 few thousand at most, whatever the corpus), separately for each kind. The
 posteriors train a logistic span classifier on votes, context and shape;
@@ -13,8 +13,10 @@ it decides, and of overlapping spans the likelier stays.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from .pii_spans import DIMENSIONS, KINDS, STREETS_DE, STREETS_EN, STREETS_ES, ST
 VOTES = 8
 #: Spans of each kind on which the final classifier is trained (a hash sample).
 TRAINED_ON = 5_000
+#: A word speaks for a kind of number if this share of the numbers after it are of that kind; words at most.
+CONTEXT, MOST_CONTEXT = 0.5, 2_000
 #: Rounds of expectation-maximisation and of the classifier's descent.
 ROUNDS, STEPS = 60, 150
 #: Share of the votes against, silent and for, of spans that are not and that are personal.
@@ -92,12 +96,49 @@ def add_names(found: DataFrame, docs: DataFrame) -> DataFrame:
         "a", ((F.coalesce("n_lower", F.lit(0)) * 4 >= F.col("n")) & (F.col("listed") < 1)).alias("a_common"), ((F.col("listed") > 0) | learned).alias("given")
     )
     first = cut(first)
-    voted = persons.join(last, "b", "left").join(first, "a", "left")
+    # titled names and initials have no given name, some no surname: the empty word is joined with nothing, lest it be one hot key
+    none = lambda df, *names: df.select("*", *[F.lit(None).cast("boolean").alias(n) for n in names])
+    voted = persons.where("b != ''").join(last, "b", "left").unionByName(none(persons.where("b = ''"), "b_common", "surname"))
+    voted = voted.where("a != ''").join(first, "a", "left").unionByName(none(voted.where("a = ''"), "a_common", "given"))
     vote = lambda yes, no: F.when(F.col(no), F.lit(-1)).when(F.col(yes), F.lit(1)).otherwise(F.lit(0))
     votes = F.concat(F.array(vote("given", "a_common")), F.slice("votes", 2, 5), F.array(vote("surname", "b_common"), F.lit(0)))
     return voted.select("doc_id", "kind", "start_pos", "end_pos", votes.alias("votes"), "features")
 
 
+def _weights(rows: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
+    """Per kind, prior and vote tables by EM over the counts of vote patterns."""
+    patterns = rows.groupBy("kind", "votes").agg(F.count("*").alias("n")).limit(MOST_PATTERNS).toPandas()
+    return {kind: estimate(np.array(mine["votes"].tolist(), int), mine["n"].to_numpy(float)) for kind, mine in patterns.groupby("kind")}
+
+
+def add_context(numbers: DataFrame) -> DataFrame:
+    """Candidates of numbers with context votes by words learned from the corpus as well as by those of the lists.
+
+    The other labelers (form, lists) give each vote pattern a posterior by
+    EM; a word before numbers is for a kind if ``CONTEXT`` of its numbers at
+    least, at the lower bound of its 95 % interval, are of that kind.
+    """
+    models = _weights(numbers)
+    seen = numbers.select("kind", "votes", F.explode(F.array_distinct(F.split("a", " "))).alias("word")).where("length(word) > 1").groupBy("kind", "word", "votes").agg(F.count("*").alias("n"))
+
+    def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for kind, rows in frame.groupby("kind"):
+                yield rows[["kind", "word", "n"]].assign(held=posterior(np.array(rows["votes"].tolist(), int), *models[kind]) * rows["n"])
+
+    rated = seen.mapInPandas(rate, "kind string, word string, n bigint, held double").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    p, n, z = F.col("held") / F.col("n"), F.col("n"), 1.96
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    words = rated.where(low >= CONTEXT).orderBy(F.desc("held"), "kind", "word").limit(MOST_CONTEXT).collect()
+    learned = {kind: F.array(*[F.lit(r.word) for r in words if r.kind == kind]).cast("array<string>") for kind in ("phone", "id_number")}
+    meets = lambda kind: F.arrays_overlap(F.split("a", " "), learned[kind])
+    phone, ident = meets("phone") & ~meets("id_number"), meets("id_number") & ~meets("phone")
+    vote = lambda i, on, value: F.when(on, F.lit(value)).otherwise(F.get("votes", F.lit(i)))
+    for_phone = F.concat(F.slice("votes", 1, 2), F.array(vote(2, phone, 1), F.get("votes", F.lit(3)), vote(4, ident, -1)), F.slice("votes", 6, VOTES - 5))
+    for_ident = F.concat(F.array(vote(0, ident, 1)), F.slice("votes", 2, 2), F.array(vote(3, phone, -1)), F.slice("votes", 5, VOTES - 4))
+    return numbers.withColumn("votes", F.when(F.col("kind") == "phone", for_phone).otherwise(for_ident))
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
     """Prior and, for each class, labeler and vote, log-probabilities: a mixture of two independent vote tables by EM.
 
@@ -153,6 +194,18 @@ def score(votes: np.ndarray, features: list[list[int]], weights: np.ndarray) ->
     return np.bincount(rows, weights[cols], len(votes))
 
 
+def _sample(voted: DataFrame, sizes: dict[str, int]) -> pd.DataFrame:
+    """Up to ``TRAINED_ON`` spans of each kind, those of lowest hash: a threshold from the kind's count lets about so many pass, whatever the data."""
+    lot = F.pmod(F.xxhash64("doc_id", "start_pos"), F.lit(1 << 30))
+    most = {kind: min(1 << 30, math.ceil((1 << 30) * 1.1 * TRAINED_ON / max(n, 1))) for kind, n in sizes.items()}
+    if not most:
+        return pd.DataFrame({"kind": [], "votes": [], "features": []})
+    below = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(most[k])), most, F.when(F.lit(False), 0))
+    passed = voted.withColumn("lot", lot).where(F.col("lot") < below).select("kind", "votes", "features", "lot", "doc_id", "start_pos", "end_pos")
+    rows = passed.limit(2 * TRAINED_ON * len(KINDS)).toPandas()
+    return rows.sort_values(["lot", "doc_id", "start_pos", "end_pos"]).groupby("kind").head(TRAINED_ON)
+
+
 def find_personal(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``(doc_id, kind, start_pos, end_pos)`` of every span judged personal; positions count code points from 0.
 
@@ -160,16 +213,19 @@ def find_personal(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     count once; rows without id are left out. Other columns are ignored.
     """
     found = cut(candidates(docs, lexicon))
-    voted = found.where("kind != 'person'").select("doc_id", "kind", "start_pos", "end_pos", "votes", "features")
+    columns = ["doc_id", "kind", "start_pos", "end_pos", "votes", "features"]
+    numbers = "kind in ('phone', 'id_number')"
+    voted = found.where(f"kind != 'person' and not {numbers}").select(columns).unionByName(add_context(found.where(numbers)).select(columns))
     voted = cut(voted.unionByName(add_names(found, docs)).distinct())
     patterns = voted.groupBy("kind", "votes").agg(F.count("*").alias("n")).limit(MOST_PATTERNS).toPandas()
+    sampled = _sample(voted, patterns.groupby("kind")["n"].sum().to_dict())
     models = {}
     for kind in KINDS:
         mine = patterns[patterns["kind"] == kind]
         if len(mine) == 0:
             continue
         prior, tables = estimate(np.array(mine["votes"].tolist(), int), mine["n"].to_numpy(float))
-        sample = voted.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "start_pos"), "doc_id", "start_pos").limit(TRAINED_ON).select("votes", "features").toPandas()
+        sample = sampled[sampled["kind"] == kind]
         votes = np.array(sample["votes"].tolist(), int)
         models[kind] = train(votes, sample["features"].tolist(), posterior(votes, prior, tables))
     if not models:
@@ -197,12 +253,24 @@ def _likeliest(judged: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` with every span replaced by ``[KIND]``; all other text unchanged, null texts null."""
+    """``(doc_id, text)`` with every span of ``found`` replaced by ``[KIND]``; all other text unchanged, null texts null. Ids are those of ``found``."""
     per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("_spans"))
     joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
     return joined.select("doc_id", _replaced(F.col("text"), F.col("_spans")).alias("text"))
 
 
+def redacted(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` without personal information, one row out for each row in.
+
+    Rows with a null doc_id are searched too, under an id made from their text.
+    """
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNull().alias("_none"))
+    found = find_personal(keyed, lexicon)
+    per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("_spans"))
+    joined = keyed.join(per_doc, "doc_id", "left")
+    return joined.select(F.when(~F.col("_none"), F.col("doc_id")).alias("doc_id"), _replaced(F.col("text"), F.col("_spans")).alias("text"))
+
+
 def _replaced(text: Column, marks: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     step = lambda acc, m: F.struct(

@@ -25,21 +25,18 @@ TITLES = (
     "Mr Mrs Ms Miss Dr Prof Professor Sir Dame Herr Frau Hr Fr Mme Mlle Madame Monsieur Maître Sr Sra Srta Señor Señora Don Doña Doctor"
 ).split()
 PARTICLES = "van von del de da di du der den dos zu zum ten ter la le el al bin ibn y af av".split()
-PHONE_WORDS = set(
-    "tel tél phone telephone mobile cell fax call ring dial reached message under telefon telefonisch rufnummer mobil handy unter "
-    "téléphone appelez portable secrétariat répond teléfono llame móvil telf appointment hours cover tutor editor examiner archivist".split()
-)
+PHONE_WORDS = set("tel tél phone telephone mobile cell fax call ring dial telefon telefonisch rufnummer mobil handy téléphone appelez portable teléfono llame móvil telf".split())
 ID_WORDS = set(
     "identity id passport registration reg candidate student ssn tax social insurance licence license national mark sheet stamp ausweisnummer ausweis "
     "matrikelnummer matrikel steuernummer personalausweis reisepass identité étudiant numéro passeport matricule documento dni nie nif alumno "
     "pasaporte expediente matrícula kandidat".split()
 )
 THING_WORDS = set(
-    "order ticket grant isbn issn serial version doi invoice article item part room table figure page pages run started coordinates "
+    "order ticket grant isbn issn serial version doi invoice article item part room table figure page pages "
     "model batch lot account parcel shipment seite tabelle auftrag bestellung rechnung commande facture pedido factura equation section".split()
 )
-ADDRESS_WORDS = set("address adresse anschrift dirección domicilio resident lives wohnhaft residing sent deliveries loan kopien copies copias envoyées envían back".split())
-MAIL_WORDS = set("mail email courriel correo mailto cc contact escriba écrire kontakt rückfragen questions ask returned bounced".split())
+ADDRESS_WORDS = set("address adresse anschrift dirección domicilio resident lives wohnhaft residing".split())
+MAIL_WORDS = set("mail email courriel correo mailto contact kontakt".split())
 STREETS_EN = "Street St Road Rd Lane Ln Avenue Ave Close Court Ct Mews Row Boulevard Blvd Square Sq Way Terrace Drive Gardens Crescent Parade Walk Hill Place Pl".split()
 STREETS_FR = "rue avenue impasse place boulevard allée chemin quai cours route square passage".split()
 STREETS_DE = "straße strasse str. weg gasse platz allee ring damm ufer steig".split()
@@ -57,7 +54,7 @@ _UPPER_WORD = re.compile(r"[\w'’\-]+$")
 _AT = re.compile(
     r"[ \t\r\n]{0,2}(?:[@＠]|[\[({<][ ]?(?:at|AT|arobase|ät)[ ]?[\])}>])[ \t\r\n]{0,2}|[ ](?:at|AT)[ ](?=[\w-]+[ ](?:dot|DOT)[ ])"
 )
-_LOCAL = re.compile(r"[\w.+\-’']*\w$")
+_DOT_BEFORE = re.compile(r"(?:[ \t\n]?[\[({<][ ]?(?:dot|DOT|punkt|punto|point)[ ]?[\])}>][ \t\n]?|[ ](?:dot|DOT)[ ])$")
 #: Every form of _AT holds one of these.
 _MARKS = ("@", "＠", *(f"{at}{gap}{bracket}" for at in ("at", "AT", "ät") for gap in ("", " ") for bracket in "])}>"), "arobase", " dot ", " DOT ")
 _DOMAIN = re.compile(r"\w[\w-]*(?:(?:\.|[ \t\n]?[\[({][ ]?(?:dot|DOT|punkt|punto|point)[ ]?[\])}][ \t\n]?|[ ](?:dot|DOT)[ ])[\w-]+)+")
@@ -142,18 +139,35 @@ def _numbers(text: str) -> Iterator[Span]:
             features += [f"b:{w}" for w in near] + ["plus"] * plus + ["phoneshape"] * phone + ["idshape"] * ident + ["thing"] * thing
             extension = _EXTENSION.match(text, end)
             if pattern is _NUMBER:
-                votes = [1 if plus else 0, 1 if phone else (0 if plus else -1), _vote(near, PHONE_WORDS, 1), -1 if thing or date else 0, _vote(near, ID_WORDS, -1), 1 if extension else 0, -1 if ident and not phone else 0, 0]
-                yield "phone", start, extension.end() if extension else end, "", "", votes, _hashed(features + ["ext"] * bool(extension))
+                votes = [1 if plus else 0, 1 if phone else (0 if plus else -1), _vote(near, PHONE_WORDS, 1), -1 if thing or date else 0, _vote(near, ID_WORDS, -1), 1 if extension else 0, -1 if ident and not phone else 0, -1 if text[end : end + 1].isalpha() else 0]
+                yield "phone", start, extension.end() if extension else end, " ".join(near), "", votes, _hashed(features + ["ext"] * bool(extension))
             votes = [_vote(near, ID_WORDS, 1), 1 if ident else -1, -1 if thing or date else 0, _vote(near, PHONE_WORDS, -1), -1 if plus or extension else 0, 1 if l1 in "=:(" else 0, -1 if phone and not ident else 0, 0]
-            yield "id_number", start, end, "", "", votes, _hashed(features)
+            yield "id_number", start, end, " ".join(near), "", votes, _hashed(features)
+
+
+def _local_start(text: str, end: int) -> int:
+    """Where the local part of an address that ends at ``end`` begins, dots written out included; ``end`` where there is none."""
+    if not end or not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        return end
+    at = end
+    while True:
+        begin = at
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-’'"):
+            begin -= 1
+        while begin < at and text[begin] in ".+-'’":
+            begin += 1
+        dot = _DOT_BEFORE.search(text, max(0, begin - 12), begin)
+        if begin == at or not dot or not dot.start() or not text[dot.start() - 1].isalnum():
+            return begin
+        at = dot.start()
 
 
 def _emails(text: str) -> Iterator[Span]:
     for at in _AT.finditer(text):
-        local, domain = _LOCAL.search(text[max(0, at.start() - 64) : at.start()]), _DOMAIN.match(text, at.end())
-        if not local or not domain:
+        start, domain = _local_start(text, at.start()), _DOMAIN.match(text, at.end())
+        if start == at.start() or not domain:
             continue
-        start, end = at.start() - len(local[0].lstrip(".+-'’")), domain.end()
+        end = domain.end()
         whole = text[start:end]
         left, right, l1, r1 = _around(text, start, end)
         tail = re.split(r"[.\s)\]}]", whole)[-1]
@@ -163,6 +177,15 @@ def _emails(text: str) -> Iterator[Span]:
         yield "email", start, end, "", "", votes, _hashed([f"t:{tail.lower()}", f"l1:{left[0] if left else l1}", f"lc:{l1}", f"rc:{r1}", f"plain:{plain}", f"named:{named}"])
 
 
+def _behind(text: str, start: int, size: int, gaps: int) -> str:
+    """At least ``size`` characters before ``start``, and as many more as hold ``gaps`` blanks or line ends."""
+    near = text[max(0, start - size) : start]
+    while size < start and near.count(" ") + near.count("\n") + near.count("\xa0") < gaps:
+        size *= 2
+        near = text[max(0, start - size) : start]
+    return near
+
+
 def _addresses(text: str, streets: re.Pattern) -> Iterator[Span]:
     # forms are tried at house numbers only: street after the number, or before it
     done = -1
@@ -174,10 +197,10 @@ def _addresses(text: str, streets: re.Pattern) -> Iterator[Span]:
         joined = before.isalnum() or before in (".", ",", "/", "-")
         ahead = None if joined else _NUMBER_FIRST.match(text, start)
         if ahead:
-            unit = _UNIT.search(text[max(0, start - 24) : start])
+            unit = _UNIT.search(_behind(text, start, 24, 3))
             start, end = start - len(unit[0]) if unit else start, ahead.end()
         else:
-            unit, near = None, text[max(0, start - 72) : start]
+            unit, near = None, _behind(text, start, 72, 10)
             behind = _STREET_FIRST.search(near) if any(k in near for k in _STREETS_BEFORE) else None
             if not behind:
                 continue
@@ -201,7 +224,7 @@ def _address(text: str, start: int, end: int, unit: bool, streets: re.Pattern) -
 
 def _inverted(text: str) -> Iterator[re.Match]:
     for comma in _UPPER_COMMA.finditer(text):
-        word = _UPPER_WORD.search(text[max(0, comma.start() - 40) : comma.start()])
+        word = _UPPER_WORD.search(_behind(text, comma.start(), 40, 1))
         m = word and _INVERTED.match(text, comma.start() - len(word[0]))
         if m:
             yield m
@@ -260,7 +283,7 @@ def _bare(word: str) -> str:
 
 
 def spans(text: str, given: frozenset[str], common: frozenset[str], streets: re.Pattern) -> Iterator[Span]:
-    """``(kind, start, end, first name, last name, votes, features)`` of every candidate of a text."""
+    """``(kind, start, end, first name, last name, votes, features)`` of every candidate of a text; numbers have the words before them in place of the first name."""
     if any(mark in text for mark in _MARKS):
         yield from _emails(text)
     yield from _numbers(text)
