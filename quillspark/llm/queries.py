@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 from . import history, packing, pii, scan_noise, splitting, text_quality, tokenizing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,22 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_chunks(_table(spark, folder, "chunks"))
 
 
+def p4_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.tiling(p4_pieces(spark, folder))
+
+
+def p4_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All contents written out as text files, a few large ones, which are then cut by byte ranges."""
+    path = shared_path(spark, "texts")
+    contents = _table(spark, folder, "chunks").select(F.coalesce("content", F.lit("")).alias("value"))
+    contents.write.text(path)
+    pieces = splitting.split_files(spark, path, range_bytes=1 << 18)
+    own = F.length("content") - F.col("n_overlap")
+    faults = F.count_if((F.col("estimated_tokens") > splitting.LIMIT) | (F.col("end_pos") - F.col("start_pos") != own))
+    per_file = pieces.groupBy("path").agg(F.sum(own).alias("n"), faults.alias("faults"), F.max("end_pos").alias("end"), (F.max("piece_no") + 1 - F.countDistinct("piece_no")).alias("gaps"))
+    return per_file.agg(F.sum("n").alias("n_chars"), F.sum(F.col("faults") + F.col("gaps") + F.abs(F.col("end") - F.col("n"))).alias("faults"))
+
+
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode_corpus(_table(spark, folder, "documents"))
 
@@ -76,13 +93,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
-    return pii.redact(docs, pii.find_personal(docs, _table(spark, folder, "lexicon")))
+    return pii.redacted(_table(spark, folder, "documents"), _table(spark, folder, "lexicon"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_text, p2_found, p2_chunks, p2_files, p3_found, p3_files, p3_batches, p4_found, p4_pieces, p5_ids, p6_containers, p7_found, p7_text)
+    for f in (p1_found, p1_text, p2_found, p2_chunks, p2_files, p3_found, p3_files, p3_batches, p4_found, p4_pieces, p4_tiling, p4_files, p5_ids, p6_containers, p7_found, p7_text)
 }
 
 _WS = "[\\t\\n\\v\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -104,4 +120,8 @@ SELECT DISTINCT chunk_id, CASE WHEN by_paragraph <= 500 THEN 'paragraph' WHEN by
 FROM cut
 """
 
-SQL: dict[str, str] = {"p4_found": _P4}
+#: Pieces put together are the contents, and no piece is at fault.
+_P4_TILING = "SELECT DISTINCT chunk_id, length(content)::BIGINT AS n_chars, md5(content) AS hash, 0::BIGINT AS faults FROM chunks WHERE length(content) // 4 > 500"
+_P4_FILES = "SELECT sum(length(coalesce(content, '')) + 1)::BIGINT AS n_chars, 0::BIGINT AS faults FROM chunks"
+
+SQL: dict[str, str] = {"p4_found": _P4, "p4_tiling": _P4_TILING, "p4_files": _P4_FILES}

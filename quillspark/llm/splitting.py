@@ -7,7 +7,9 @@ ranges are byte ranges dealt to different workers: a first pass gives the
 table of boundaries (where each range's own part begins and ends, its
 characters and pieces), prefix sums over that table number the pieces and
 place them, and a second pass emits the pieces by offset. No worker holds
-more than a range and its halo. The size of a text is its length div 4.
+more than a range and its halo. A text that is a row of a table is in memory
+already; its ranges are scanned and stitched by the worker that has it. The
+size of a text is its length div 4.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .rows import once
 
 LIMIT, OVERLAP = 500, 50
-#: Characters (tables) and bytes (files) of a range.
-RANGE = 1 << 20
+#: Bytes of a range of a file, characters of a range of a row that is cut, and of one whose boundaries are sought.
+RANGE, ROW_RANGE, SCAN_RANGE = 1 << 20, 1 << 16, 1 << 12
 #: The white space of Unicode, and the levels from coarse to fine.
 SPACE = "\t-\r \x85\xa0  -     　"
 LEVELS = {
@@ -63,7 +66,7 @@ def scan_range(text: str, level: str, low: int, high: int) -> tuple[int, int, in
     return None if first is None else (first, last, gap)
 
 
-def longest_piece(text: str, level: str, span: int = RANGE) -> int:
+def longest_piece(text: str, level: str, span: int = SCAN_RANGE) -> int:
     """Longest piece of a text cut at a level, stitched from the tables of its ranges."""
     longest, end = 0, 0
     for low in range(0, max(len(text), 1), span):
@@ -74,7 +77,7 @@ def longest_piece(text: str, level: str, span: int = RANGE) -> int:
     return max(longest, len(text) - end)
 
 
-def boundary_of(text: str, limit: int = LIMIT, span: int = RANGE) -> str:
+def boundary_of(text: str, limit: int = LIMIT, span: int = SCAN_RANGE) -> str:
     """The first level whose every piece is within the limit, else ``none``."""
     most = most_chars(limit)
     return next((level for level in LEVELS if longest_piece(text, level, span) <= most), "none")
@@ -128,25 +131,65 @@ def _overlap_start(text: str, start: int, floor: int, overlap: int) -> int:
     return found.end() if found and found.end() < start else low
 
 
-def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, start: int = 0, floor: int = 0) -> list[tuple[int, int, int]]:
-    """``(overlap_start, start, end)`` of the pieces from ``start``; the parts [start, end) tile the text.
+def _back(limit: int, overlap: int) -> int:
+    """Characters of overlap: at most half of a piece."""
+    return min(4 * overlap, most_chars(limit) // 2)
+
 
-    ``floor``: where the piece before ``start`` begins.
+def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP, start: int = 0) -> list[int]:
+    """Where the parts end that tile the text from ``start``; each leaves room for the overlap in its piece.
+
+    Ends depend on the text from ``start`` on only, not on what is repeated
+    of a piece before, so the worker of a range knows how many there are.
     """
-    most, back, pieces = most_chars(limit), 4 * overlap, []
+    most, ends = most_chars(limit), []
+    room = most - _back(limit, overlap)
     while start < len(text):
-        before = _overlap_start(text, start, floor, back)
-        end = _cut_end(text, start, before + most)
+        end = _cut_end(text, start, start + room)
         found = LEVELS["word"].search(text, start, start + most + 1)
         stop = found.start() if found else len(text)
         if end < stop <= start + most:  # a token that is whole with less overlap
-            word = LEVELS["word"].search(text, max(before, stop - most), start)
-            before, end = word.end() if word else start, stop
-        pieces.append((before, start, end))
+            end = stop
+        ends.append(end)
+        start = end
+    return ends
+
+
+def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, start: int = 0, floor: int = 0) -> list[tuple[int, int, int]]:
+    """``(overlap_start, start, end)`` of the pieces from ``start``; the parts [start, end) tile the text.
+
+    ``floor``: where the part before ``start`` begins.
+    """
+    most, back, pieces = most_chars(limit), _back(limit, overlap), []
+    for end in cut_points(text, limit, overlap, start):
+        pieces.append((_overlap_start(text, start, floor, min(back, most - (end - start))), start, end))
         floor, start = start, end
     return pieces
 
 
+def _first_boundary(halo: str) -> int:
+    """Characters to the end of the first boundary of the coarsest level in a halo; 0 for none."""
+    for pattern in LEVELS.values():
+        found = pattern.search(halo)
+        if found and found.end() < len(halo):
+            return found.end()
+    return 0
+
+
+def cut_row(text: str, limit: int = LIMIT, overlap: int = OVERLAP, span: int = ROW_RANGE) -> list[tuple[int, int, int]]:
+    """``cut_text`` of a text that is in memory, by ranges: each begins after a boundary in its halo, and is cut on its own."""
+    halo = 4 * most_chars(limit)
+    starts = [0] + [at + _first_boundary(text[at : at + halo]) for at in range(span, len(text), span)]
+    pieces, floor = [], 0
+    for a, z in zip(starts, [*starts[1:], len(text)], strict=True):
+        if a < z:
+            base = max(0, a - _back(limit, overlap))
+            part = cut_text(text[base:z], limit, overlap, a - base, max(0, floor - base))
+            pieces += [(base + before, base + start, base + end) for before, start, end in part]
+            floor = pieces[-1][1]
+    return pieces
+
+
 PIECES = "piece_no int, start_pos bigint, end_pos bigint, n_overlap int, content string, estimated_tokens int"
 
 
@@ -163,14 +206,30 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         for frame in frames:
             rows = []
             for chunk_id, header, text in frame.itertuples(index=False):
-                for number, (before, start, end) in enumerate(cut_text(text, limit, overlap)):
+                for number, (before, start, end) in enumerate(cut_row(text, limit, overlap)):
                     rows.append((chunk_id, header, number, start, end, start - before, text[before:end], (end - before) // 4))
             yield pd.DataFrame(rows, columns=["chunk_id", "section_header", "piece_no", "start_pos", "end_pos", "n_overlap", "content", "estimated_tokens"])
 
-    rows = oversized(chunks, limit).select("chunk_id", "section_header", "content").dropDuplicates(["chunk_id", "content"])
+    rows = once(chunks.select("chunk_id", "section_header", "content"), ["chunk_id", "content"], lambda df: oversized(df, limit))
     return rows.mapInPandas(cut_all, f"chunk_id string, section_header string, {PIECES}")
 
 
+def tiling(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Per chunk: characters that the pieces tile, hash of the text put together from them, and faults of size, number, place, overlap.
+
+    Only the chunk's own pieces are put together, of which a text has few.
+    """
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "n_overlap", "content"))), lambda p: p)
+    own = lambda p: F.substring(p["content"], p["n_overlap"] + 1, F.length(p["content"]))
+    texts = pieces.groupBy("chunk_id").agg(whole.alias("p")).withColumn("text", F.array_join(F.transform("p", own), ""))
+    before = lambda p: F.substring(F.col("text"), (p["start_pos"] - p["n_overlap"] + 1).cast("int"), p["n_overlap"])
+    right = lambda p, i: (
+        (F.floor(F.length(p["content"]) / 4) <= limit) & (p["piece_no"] == i) & (p["n_overlap"] <= 4 * overlap) & (F.substring(p["content"], F.lit(1), p["n_overlap"]) == before(p))
+        & (p["start_pos"] == F.coalesce(F.get("p", i - 1)["end_pos"], F.lit(0)))
+    )
+    return texts.select("chunk_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("hash"), F.size(F.filter("p", lambda p, i: ~right(p, i))).cast("bigint").alias("faults"))
+
+
 def _reader(path: str) -> tuple[Callable[[int, int], bytes], int]:
     from pyarrow import fs
 
@@ -191,19 +250,17 @@ def _snap(read: Callable[[int, int], bytes], at: int, size: int, limit: int) ->
     halo = read(at, at + 4 * most_chars(limit))
     skip = next((k for k, b in enumerate(halo[:4]) if b & 0xC0 != 0x80), 0)  # to the first whole character
     text = halo[skip:].decode("utf-8", "ignore")
-    for pattern in LEVELS.values():
-        found = pattern.search(text)
-        if found and found.end() < len(text):
-            return at + skip + len(text[: found.end()].encode())
-    return at + skip
+    return at + skip + len(text[: _first_boundary(text)].encode())
 
 
 def split_files(spark: SparkSession, paths: str | list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
     """``(path, piece_no, start_pos, end_pos, n_overlap, content, estimated_tokens)`` of UTF-8 files of any size.
 
     Positions count characters of the file. Bytes that are not UTF-8 are
-    replaced; empty files have no row.
+    replaced; empty files have no row. Only names and lengths of the files
+    pass through Spark; workers read the bytes of their ranges.
     """
+    back = _back(limit, overlap)
     files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("low"))
     ranges = ranges.repartition(F.col("path"), F.col("low"))
@@ -223,9 +280,9 @@ def split_files(spark: SparkSession, paths: str | list[str], limit: int = LIMIT,
                 read, size = _reader(path)
                 a, z = _snap(read, low, size, limit), _snap(read, low + range_bytes, size, limit)
                 if a < z:
-                    text, at = part(read, a, z, 4 * overlap)
-                    pieces = cut_text(text, limit, overlap, at)
-                    rows.append((path, a, z, len(text) - at, len(pieces), len(text) - pieces[-1][1]))
+                    text, at = part(read, a, z, back)
+                    ends = cut_points(text, limit, overlap, at)
+                    rows.append((path, a, z, len(text) - at, len(ends), len(text) - ([at] + ends)[-2]))
             yield pd.DataFrame(rows, columns=["path", "a", "z", "n_chars", "n_pieces", "last_chars"])
 
     table = cut(ranges.mapInPandas(detect, "path string, a bigint, z bigint, n_chars bigint, n_pieces bigint, last_chars bigint"))
@@ -234,16 +291,16 @@ def split_files(spark: SparkSession, paths: str | list[str], limit: int = LIMIT,
         "path", "a", "z",
         F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)).alias("chars"),
         F.coalesce(F.sum("n_pieces").over(earlier), F.lit(0)).alias("pieces"),
-        F.coalesce(F.lag("last_chars").over(W.partitionBy("path").orderBy("a")), F.lit(0)).alias("back"),
+        F.coalesce(F.lag("last_chars").over(W.partitionBy("path").orderBy("a")), F.lit(0)).alias("last"),
     )
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, a, z, chars, numbers, back in frame.itertuples(index=False):
+            for path, a, z, chars, numbers, last in frame.itertuples(index=False):
                 read, _ = _reader(path)
-                text, at = part(read, a, z, 4 * overlap)
-                for k, (before, start, end) in enumerate(cut_text(text, limit, overlap, at, max(0, at - back))):
+                text, at = part(read, a, z, back)
+                for k, (before, start, end) in enumerate(cut_text(text, limit, overlap, at, max(0, at - last))):
                     rows.append((path, numbers + k, chars + start - at, chars + end - at, start - before, text[before:end], (end - before) // 4))
             yield pd.DataFrame(rows, columns=["path", "piece_no", "start_pos", "end_pos", "n_overlap", "content", "estimated_tokens"])
 

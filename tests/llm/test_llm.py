@@ -157,9 +157,9 @@ def test_batches_one_by_one_with_the_tables_opened_anew(spark, tmp_path):
     assert history.History(spark, f"{tmp_path}/h").verdicts().count() == len(verdicts)
 
 
-def test_steps_double_and_end_singly():
-    assert history.steps([(b, 10) for b in range(10)], 2) == [[0], [1], [2, 3], [4, 5, 6, 7], [8], [9]]
-    assert history.steps([(b, 10) for b in range(6)], 2) == [[0], [1], [2, 3], [4], [5]] and history.steps([], 3) == [] and history.steps([(7, 1)], 3) == [[7]]
+def test_steps_grow_and_end_singly():
+    assert history.steps([(b, 10) for b in range(10)], 2) == [[0], [1, 2, 3, 4], [5, 6, 7], [8], [9]]
+    assert history.steps([(b, 10) for b in range(6)], 2) == [[0], [1, 2, 3], [4], [5]] and history.steps([], 3) == [] and history.steps([(7, 1)], 3) == [[7]]
 
 
 def test_texts_of_matches_are_compared(spark):
@@ -232,6 +232,34 @@ def test_files_are_cut_by_ranges(spark, tmp_path):
         assert all(text[p.start_pos : p.end_pos] == p.content[p.n_overlap :] for p in parts)
 
 
+@pytest.mark.parametrize(("limit", "overlap", "size"), [(50, 20, 700), (50, 20, 1500), (30, 25, 400), (500, 50, 6000), (40, 0, 333)])
+def test_numbers_do_not_skip_at_any_range(spark, tmp_path, limit, overlap, size):
+    r = random.Random(size)
+    texts = [" ".join("w" * r.choice([1, 3, 9, 60]) + r.choice(["", ".", "!\n", "\n\n"]) for _ in range(r.choice([40, 900]))) for _ in range(12)]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i:02}.txt").write_bytes(text.encode())
+    found = {}
+    for p in splitting.split_files(spark, str(tmp_path), limit, overlap, size).collect():
+        found.setdefault(p.path[-6:-4], []).append(p)
+    for i, text in enumerate(texts):
+        parts = sorted(found[f"{i:02}"], key=lambda p: p.piece_no)
+        assert [p.piece_no for p in parts] == list(range(len(parts))) and "".join(p.content[p.n_overlap :] for p in parts) == text
+        assert all(p.estimated_tokens <= limit and p.n_overlap <= 4 * overlap and text[p.start_pos - p.n_overlap : p.end_pos] == p.content for p in parts)
+        rows = splitting.cut_row(text, limit, overlap, size)
+        assert [b for _, _, b in rows[:-1]] == [a for _, a, _ in rows[1:]] and rows[0][1] == 0 and rows[-1][2] == len(text)
+        assert all((z - b) // 4 <= limit and a - b <= 4 * overlap for b, a, z in rows)
+
+
+def test_pieces_tile_by_their_own_account(spark):
+    rows = [(f"c{i}", t, None) for i, t in enumerate(odd_texts())] + [("c1", odd_texts()[1], "again"), (None, "z" * 3000, None), (None, "z" * 3000, None)]
+    frame = spark.createDataFrame(rows, "chunk_id string, content string, section_header string")
+    pieces = splitting.split_chunks(frame)
+    got = {r.chunk_id: (r.n_chars, r.faults) for r in splitting.tiling(pieces).collect()}
+    assert got == {c: (len(t), 0) for c, t, _ in rows if len(t) // 4 > 500}
+    wrong = splitting.tiling(pieces.where("piece_no != 1")).where("faults > 0").count()
+    assert wrong > 0
+
+
 # --- problems 1 and 2 --------------------------------------------------------
 
 
@@ -343,6 +371,15 @@ def test_every_form_of_at_is_sought():
                 assert any(k == "email" for k, _ in kinds_at(f"jane{at}uni.example")), at
 
 
+def test_addresses_of_mail_have_no_longest_part():
+    for mail in ("x" * 70 + "@example.org", "jane dot doe at example dot org", "jane (dot) doe (at) example (dot) org", "a.b[dot]c [at] d.example"):
+        assert ("email", mail) in kinds_at(f"write to {mail} today"), mail
+    assert {t for k, t in kinds_at("the dot stands at home. Look (at) x.y. @b.org") if k == "email"} == {"Look (at) x.y"}
+    street = "Avenida " + " ".join("Q" + "x" * 40 for _ in range(3))
+    assert ("address", f"{street}, 12") in kinds_at(f"sent to {street}, 12")
+    assert ("person", "A" * 50 + ", Bruno") in kinds_at("by " + "A" * 50 + ", Bruno")
+
+
 def pii_rows():
     r = random.Random(9)
     firsts, lasts = ["Ana", "Bruno", "Clara", "Zeno"], ["Velt", "Korvin", "Damaris", "Ostrow"]
@@ -370,6 +407,9 @@ def test_personal_information_is_found_and_replaced(spark, lexicon):
     sample = next(i for i, t in pii_rows() if i and "read by" in t and (i, "person") in got and (i, "email") in got)
     assert redacted[sample] == "The draft was read by [PERSON] in spring.\nE-mail: [EMAIL]"
     assert pii.find_personal(docs.limit(0), lexicon).count() == 0
+    whole = pii.redacted(docs, lexicon).collect()
+    assert len(whole) == len(rows) and [r.text for r in whole if r.doc_id is None] == ["[PERSON]"]
+    assert {r.text for r in whole if r.doc_id == sample} == {redacted[sample]}
 
 
 def test_mixture_of_votes():
