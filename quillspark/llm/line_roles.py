@@ -60,7 +60,7 @@ def roles(lines: list[str]) -> str:
         elif fenced:
             out.append(CODE)
         elif bare.count("|") >= 2 or "\t" in bare or ("<" in bare and _HTML.search(bare)):
-            out.append(TABLE)
+            out.append(RULE if _heap(bare) else TABLE)
         elif ("\\" in bare or "$" in bare) and _FORMULA.search(bare):
             out.append(FORMULA)
         elif not first.isalnum() and len(bare) > 2 and _RULE.match(bare):
@@ -76,7 +76,7 @@ def roles(lines: list[str]) -> str:
         elif "  " in bare and last != "." and (gaps := len(_COLUMNS.findall(bare))) >= 2 and len(bare.split()) <= 4 * gaps and _wide(bare):
             out.append(TABLE)
         elif (";" in bare or "," in bare) and _cells(bare):
-            out.append(TABLE)
+            out.append(RULE if _heap(bare) else TABLE)
         elif ": " in bare and len(bare) < 110 and _TERM.match(line) and len(bare.split()) <= 9:
             out.append("t")
         else:
@@ -119,6 +119,12 @@ def roles(lines: list[str]) -> str:
     return "".join(out)
 
 
+def _heap(bare: str) -> bool:
+    """Mostly marks, of many sorts: bars among them are no cells."""
+    marks = [c for c in bare if not (c.isalnum() or c.isspace())]
+    return len(marks) * 2 > len(bare) - sum(map(str.isspace, bare)) and len(set(marks)) >= 8
+
+
 def _wide(bare: str) -> bool:
     """Cells apart by three or more spaces, or several of them by two: not text that is justified by spaces."""
     cells = re.split(r" {2,}", bare)

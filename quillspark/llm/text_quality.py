@@ -2,11 +2,11 @@
 
 A mixture of Gaussians is fitted to the standardized statistics of all
 chunks by expectation-maximisation: in each round every partition sends the
-sums of its responsibilities, values and products (one row of fixed size).
-Components are named by inspected examples: short texts of each kind,
-written for this purpose and scored like any chunk; a component takes the
-name of the kind whose examples it holds. The kind so found is then checked
-against what makes up most of the chunk's characters.
+sums of its responsibilities, values and products (one row of fixed size),
+until the log-likelihood a chunk gains less than ``GAIN``. Components are
+named by inspected examples: short texts of each kind, written after looking
+at the corpus and scored like any chunk; a component takes the name of the
+kind whose examples it holds. The components decide the kind.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .line_roles import STATISTICS, statistics
 
-COMPONENTS, ROUNDS = 12, 12
+#: Gaussians of the mixture, rounds at most, and the gain in log-likelihood a chunk below which rounds end.
+COMPONENTS, ROUNDS, GAIN = 20, 30, 0.01
 #: Added to the variances of standardized values.
 RIDGE = 0.05
 #: Lexicon rows that may be sent to the executors.
@@ -106,32 +107,40 @@ class Mixture:
 
     def __init__(self, centre: np.ndarray, spread: np.ndarray, means: np.ndarray) -> None:
         k, d = means.shape
+        self.history: list[float] = []  # log-likelihood a chunk, by round
         self.centre, self.spread, self.means = centre, spread, means
         self.weights, self.covariances = np.full(k, 1 / k), np.repeat(np.eye(d)[None] * 0.5, k, 0)
 
     def standard(self, values: np.ndarray) -> np.ndarray:
         return (_scaled(values) - self.centre) / self.spread
 
-    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+    def densities(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms of weight times density, but for a constant."""
         logs = []
         for w, m, c in zip(self.weights, self.means, self.covariances, strict=True):
             low = np.linalg.cholesky(c)
             y = np.linalg.solve(low, (x - m).T)
             logs.append(np.log(w + 1e-12) - 0.5 * (y**2).sum(0) - np.log(np.diag(low)).sum())
-        logs = np.array(logs).T
-        logs -= logs.max(1, keepdims=True)
-        r = np.exp(logs)
+        return np.array(logs).T
+
+    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+        logs = self.densities(x)
+        r = np.exp(logs - logs.max(1, keepdims=True))
         return r / r.sum(1, keepdims=True)
 
     def moments(self, x: np.ndarray) -> np.ndarray:
-        """Sums over rows, end to end: responsibilities, values, products."""
-        r = self.responsibilities(x)
+        """Sums over rows, end to end: responsibilities, values, products, log-likelihood, rows."""
+        logs = self.densities(x)
+        top = logs.max(1, keepdims=True)
+        r = np.exp(logs - top)
+        total = r.sum(1, keepdims=True)
+        r /= total
         products = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-        return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ products).ravel()])
+        return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ products).ravel(), [float((np.log(total) + top).sum()), float(len(x))]])
 
     def update(self, sums: np.ndarray) -> None:
         k, d = self.means.shape
-        n, first, second = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d :].reshape(k, d, d)
+        n, first, second = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d : -2].reshape(k, d, d)
         held = np.maximum(n, 1e-6)[:, None]
         live = n > d + 1
         means = first / held
@@ -158,6 +167,7 @@ def fit(measured: DataFrame, common: frozenset[str]) -> Mixture:
     order = [t[j] for j in range(max(map(len, turns))) for t in turns if j < len(t)]  # one of each kind in turn
     mixture = Mixture(centre, spread, ((_scaled(values) - centre) / spread)[order[:COMPONENTS]])
     filled = filled.repartition(max(1, filled.sparkSession.sparkContext.defaultParallelism)) if filled.rdd.getNumPartitions() == 1 else filled
+    before = -np.inf
     for _ in range(ROUNDS):
 
         def send(frames: Iterator[pd.DataFrame], model: Mixture = mixture) -> Iterator[pd.DataFrame]:
@@ -169,25 +179,41 @@ def fit(measured: DataFrame, common: frozenset[str]) -> Mixture:
         sums = {r.at: r.v for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect()}  # one row a sum, whatever the data
         if not sums:
             break
-        mixture.update(np.array([sums[i] for i in range(len(sums))]))
+        total = np.array([sums[i] for i in range(len(sums))])
+        mixture.update(total)
+        mixture.history.append(total[-2] / total[-1])
+        if mixture.history[-1] - before < GAIN:
+            break
+        before = mixture.history[-1]
     return mixture
 
 
 def named(mixture: Mixture, common: frozenset[str]) -> np.ndarray:
-    """Share of each kind of ``KINDS`` in each component, by the examples it holds; the nearest example's kind where it holds none."""
+    """Share of each kind of ``KINDS`` in each component, by the examples it holds.
+
+    A component without any takes the kind that its mean gives most of the
+    characters to (list, table, code), else that of the nearest example.
+    """
     values, kinds = examples(common)
     x = mixture.standard(values)
     r = mixture.responsibilities(x)
     shares = np.array([r[[k == kind for k in kinds]].mean(0) for kind in KINDS]).T
+    roles = {f"{k}_share": k for k in ("list", "table", "code")}
     for c in range(len(shares)):
         if shares[c].sum() < 0.05:
+            mean = dict(zip(STATISTICS, mixture.means[c] * mixture.spread + mixture.centre, strict=True))
             away = ((np.linalg.solve(np.linalg.cholesky(mixture.covariances[c]), (x - mixture.means[c]).T)) ** 2).sum(0)
-            shares[c] = [kind == kinds[int(away.argmin())] for kind in KINDS]
+            most = max(roles, key=mean.__getitem__)
+            shares[c] = [kind == (roles[most] if mean[most] > 0.5 else kinds[int(away.argmin())]) for kind in KINDS]
     return shares / shares.sum(1, keepdims=True)
 
 
 def settled(guess: str, s: dict[str, float]) -> str | None:
-    """The kind after the exact check: what makes up most of the characters; None for blank."""
+    """The kind by what makes up most of the characters, without the mixture, for one text alone; None for blank.
+
+    ``guess`` is what to take where the shares leave it open. The repair of
+    scans selects prose by it; the kinds of this module do not rest on it.
+    """
     if s["n_words"] == 0 and s["symbol_ratio"] == 0 and s["odd_share"] == 0 and s["table_share"] == 0 and s["list_share"] == 0 and s["code_share"] == 0:
         return None
     filler = s["distinct_share"] < 0.2 and s["distinct_share"] * max(s["n_words"], 8) <= 8
@@ -203,27 +229,27 @@ def settled(guess: str, s: dict[str, float]) -> str | None:
 
 
 def kinds_of_chunks(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``(chunk_id, file_id, *STATISTICS, mixture_kind, kind)``, repeated rows of a chunk once.
+    """``(chunk_id, file_id, *STATISTICS, kind)``, repeated rows of a chunk once.
 
-    ``kind``: prose, list, table, junk or code (formulas included); null for
-    null and blank contents. ``mixture_kind`` is what the mixture says alone.
+    ``kind``: prose, list, table, junk or code (formulas included), that of
+    the likeliest components; null for null and blank contents.
     """
     common = common_words(lexicon)
     measured = cut(chunk_statistics(chunks, lexicon))
     mixture = fit(measured, common)
     names = named(mixture, common)
+    marks = [STATISTICS.index(s) for s in ("n_words", "symbol_ratio", "odd_share", "table_share", "list_share", "code_share")]
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                values = frame[list(STATISTICS)]
-                best = (mixture.responsibilities(mixture.standard(values.to_numpy(float))) @ names).argmax(1)
-                guesses = [KINDS[i] for i in best]
-                kinds = [settled(g, s) for g, s in zip(guesses, values.to_dict("records"), strict=True)]
-                yield frame.assign(mixture_kind=guesses, kind=kinds)
+                values = frame[list(STATISTICS)].to_numpy(float)
+                best = (mixture.responsibilities(mixture.standard(values)) @ names).argmax(1)
+                blank = ~values[:, marks].any(1)
+                yield frame.assign(kind=[None if empty else KINDS[i] for i, empty in zip(best, blank, strict=True)])
 
     columns = ", ".join(f"{s} double" for s in STATISTICS)
-    return measured.mapInPandas(judge, f"chunk_id string, file_id string, {columns}, mixture_kind string, kind string").distinct()
+    return measured.mapInPandas(judge, f"chunk_id string, file_id string, {columns}, kind string").distinct()
 
 
 def not_prose(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
