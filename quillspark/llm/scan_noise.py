@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .line_roles import STATISTICS, roles, statistics
+from .rows import once
 from .text_quality import common_words, settled
 
 # What scanners read (first) for what is printed (second).
@@ -38,8 +39,8 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 FREQUENT, RARER = 10, 10
 #: A misread word may be this many times as frequent, to its variant, as the misreading is in long words.
 TOLERANCE = 5
-#: Frequent words without fix or ligature that are not looked up; a list of fixed length, only to save work.
-TOP_WORDS = 5_000
+#: Rows of corrections, and of recurring lines, that may be broadcast; more are joined by shuffle.
+MOST_ROWS = 500_000
 
 _LETTERS = r"\p{L}\p{N}|ªº¢€£@$"
 WORD = rf"[{_LETTERS}]+(?:['’\-‐][{_LETTERS}]+)*"
@@ -206,7 +207,8 @@ def edge_lines(seen: DataFrame) -> DataFrame:
     """``(chunk_id, line_no, kind)`` of running headers and page numbers."""
     heads = seen.select("chunk_id", "file_id", F.explode("heads").alias("h")).select("chunk_id", "file_id", "h.*")
     again = heads.groupBy("file_id", "key").agg((F.min("chunk_id") != F.max("chunk_id")).alias("again"), F.max("strong").alias("known"))
-    heads = heads.join(again, ["file_id", "key"]).where("strong or again or known")
+    marked = again.where("again or known").select(F.col("file_id").alias("_file"), F.col("key").alias("_key"), F.lit(True).alias("marked"))
+    heads = heads.join(_small(cut(marked)), F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("key") == F.col("_key")), "left").where("strong or marked")
     found = heads.select("chunk_id", (F.col("line_no") + 1).alias("line_no"), F.lit("running_header").alias("kind"))
     pages = seen.select("chunk_id", F.explode("pages").alias("at")).select("chunk_id", (F.col("at") + 1).alias("line_no"), F.lit("page_number").alias("kind"))
     return found.unionByName(pages).distinct()
@@ -240,11 +242,14 @@ def divided_words(seen: DataFrame, words: DataFrame) -> DataFrame:
     return joined.where(case).select("chunk_id", "line_no", "next_no", "a", "b", "joined", F.coalesce("known", "joined").alias("word"))
 
 
-def misread_words(chunks: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """For a broadcast join, if the rows are few enough."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
+
+
+def misread_words(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
     """``(chunk_id, line_no, word, variant)`` of every misread word, of whatever kind of line; ligatures included."""
     ligatures = f"[{''.join(LIGATURES)}]"
-    sound = words.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}'’\-]+$") & ~F.col("word").rlike(ligatures)).join(fixes, "word", "left_anti")
-    top = [r[0] for r in sound.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
     lines = F.split("content", "\n", -1)
     hyphen = lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*_HYPHENS)
     each = chunks.select("chunk_id", lines.alias("lines")).select("chunk_id", "lines", F.posexplode("lines").alias("at", "line"))
@@ -253,11 +258,11 @@ def misread_words(chunks: DataFrame, words: DataFrame, fixes: DataFrame) -> Data
     line = F.when(before, F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line"))
     line = F.when(hyphen(F.col("line")), F.regexp_replace(F.rtrim(line), r"(?<!\S)\S+$", "")).otherwise(line)
     found = each.select("chunk_id", (F.col("at") + 1).alias("line_no"), F.explode(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))).alias("word"))
-    found = found.where(~F.col("word").isin(top) if top else F.lit(True)).where(r"length(word) > 1 and word rlike '\\p{L}'")
+    found = found.where(r"length(word) > 1 and word rlike '\\p{L}'")
     joined = reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(LIGATURES[k])), LIGATURES, F.col("word"))
-    ligature = F.when(F.col("word").rlike(ligatures), joined)
-    variants = found.join(fixes, "word", "left").withColumn("variant", F.coalesce("variant", ligature))
-    return variants.where("variant is not null").select("chunk_id", "line_no", "word", "variant")
+    known = found.join(_small(fixes), "word").select("chunk_id", "line_no", "word", "variant")
+    printed = found.where(F.col("word").rlike(ligatures)).join(_small(fixes), "word", "left_anti").select("chunk_id", "line_no", "word", joined.alias("variant"))
+    return known.unionByName(printed)
 
 
 class Noise:
@@ -272,7 +277,7 @@ class Noise:
         held = lambda df: df.join(self.edges.select("chunk_id", "line_no"), ["chunk_id", "line_no"], "left_anti")
         divided = cut(divided_words(seen, words).withColumn("line_no", F.col("line_no") + 1).withColumn("next_no", F.col("next_no") + 1).distinct())
         self.divided = held(divided)
-        misread = cut(misread_words(chunks, words, fixes).distinct()).join(kinds, "chunk_id")
+        misread = cut(misread_words(chunks, fixes).distinct()).join(kinds, "chunk_id")
         misread = misread.where(F.substring("roles", F.col("line_no"), F.lit(1)) == ".").select("chunk_id", "line_no", "word", "variant")
         # a joined word that the corpus knows only in another spelling was misread in the half that differs
         wrong = self.divided.where("word != joined")
@@ -337,7 +342,7 @@ def repaired(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     edges = noise.edges.groupBy("chunk_id").agg(F.collect_set("line_no").alias("edges"))
     divided = noise.divided.groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "next_no", "b", "word")).alias("divided"))
     misread = noise.misread.where("variant is not null").groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "word", "variant")).alias("misread"))
-    rows = chunks.select("chunk_id", "content").distinct().join(edges, "chunk_id", "left").join(divided, "chunk_id", "left").join(misread, "chunk_id", "left")
+    rows = once(chunks.select("chunk_id", "content"), ["chunk_id", "content"]).join(edges, "chunk_id", "left").join(divided, "chunk_id", "left").join(misread, "chunk_id", "left")
     noisy = F.coalesce(F.col("edges").isNotNull() | F.col("divided").isNotNull() | F.col("misread").isNotNull(), F.lit(False))
 
     def mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
