@@ -36,24 +36,28 @@ def _bits(gram: str) -> int:
     return _known[gram]
 
 
+def _voted(counted: Counter) -> str:
+    codes = np.array([_known.get(g) or _bits(g) for g in counted], ">u8")
+    weights = np.fromiter(counted.values(), np.float64, len(counted))
+    votes = weights @ np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+    return np.packbits(2 * votes > weights.sum()).tobytes().hex()
+
+
 @F.pandas_udf(T.StringType())
 def _majority(flat: pd.Series) -> pd.Series:
-    out = []
-    for each in flat:
-        if each is None:
-            out.append("0" * 16)
-            continue
-        counted = Counter([each[i : i + WIDTH] for i in range(max(len(each) - WIDTH + 1, 1))])
-        codes = np.array([_known.get(g) or _bits(g) for g in counted], ">u8")
-        weights = np.fromiter(counted.values(), np.float64, len(counted))
-        votes = weights @ np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
-        out.append(np.packbits(2 * votes > weights.sum()).tobytes().hex())
-    return pd.Series(out)
-
-
-def simhash(text: Column) -> Column:
-    """16 hexadecimal digits: the bits that most grams have; all zeros for null and blank texts."""
+    return pd.Series(["0" * 16 if each is None else _voted(Counter([each[i : i + WIDTH] for i in range(max(len(each) - WIDTH + 1, 1))])) for each in flat])
+
+
+@F.pandas_udf(T.StringType())
+def _majority_words(words: pd.Series) -> pd.Series:
+    return pd.Series(["0" * 16 if each is None else _voted(Counter(each)) for each in words])
+
+
+def simhash(text: Column, by_words: bool = False) -> Column:
+    """16 hexadecimal digits: the bits that most grams (or words in lower case) have; all zeros for null and blank texts."""
     blank = F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") == "", F.lit(True))
+    if by_words:
+        return _majority_words(F.when(~blank, F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")))
     return _majority(F.when(~blank, flattened(text)))
 
 

@@ -23,6 +23,37 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def part_of(items: Column, start: Column, stop: Column) -> Column:
+    """Items from ``start`` to before ``stop``, which is greater; taken one by one, where ``slice`` would go over the whole array."""
+    return F.transform(F.sequence(start, stop - 1), lambda i: F.get(items, i))
+
+
+#: Items of a block of ``scanned``.
+BLOCK = 64
+
+
+def scanned(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The state before each item of an array, ``zero`` being the first and ``step`` giving the next; ``kind`` is the state's type.
+
+    A fold that gathers its states copies all of them at every step. Here
+    the array is cut into blocks: one fold over the blocks keeps the state
+    at each block's begin, then each block is folded by itself, so the time
+    grows with the array and not with its square.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    gather = lambda s, done: F.struct(s.alias("s"), done.alias("done"))
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    blocks_of = F.transform(F.sequence(F.lit(0), last), lambda k: part_of(items, k * BLOCK, F.least(F.size(items), (k + 1) * BLOCK)))
+    cut = F.when(F.size(items) > 0, blocks_of).otherwise(F.array(F.slice(items, 1, 0)))
+
+    def through(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, gather(zero, empty), lambda acc, b: gather(F.aggregate(b, acc["s"], step), F.concat(acc["done"], F.array(acc["s"]))), lambda acc: acc["done"])
+        within = lambda b, s: F.aggregate(b, gather(s, empty), lambda acc, x: gather(step(acc["s"], x), F.concat(acc["done"], F.array(acc["s"]))), lambda acc: acc["done"])
+        return bound(begins, lambda held: F.flatten(F.transform(blocks, lambda b, k: within(b, F.get(held, k)))))
+
+    return bound(cut, through)
+
+
 def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 

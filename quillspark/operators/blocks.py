@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import sentences, stripped, tokens_by_length, tokens_by_quarter, tokens_by_words
+from ..functions.text import bound, part_of, scanned, sentences, stripped, tokens_by_length, tokens_by_quarter, tokens_by_words
 
 # What opens and closes special blocks, in the order of trial.
 PATTERNS = (
@@ -54,19 +54,23 @@ def exact_blocks(text: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, b, strict=True)) for b in find_blocks(t)] for t in text])
 
 
+def _joined(parts: Column, fresh: Column, glue: str) -> Column:
+    """Parts put together from each one that is marked ``fresh`` to the next."""
+    starts = F.filter(F.transform(fresh, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    piece = lambda s, at, k: F.array_join(part_of(parts, at, F.coalesce(F.get(s, k + 1), F.size(parts))), glue)
+    return bound(starts, lambda s: F.transform(s, lambda at, k: piece(s, at, k)))
+
+
 def _packed(parts: Column, most: int, tokens: Callable[[Column], Column], glue: str, tail: str = "") -> Column:
     """Parts put together in order while the whole is within the budget; a part over it stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+    over = lambda now, part: now.isNull() | (tokens(F.concat(now, F.lit(glue), part, F.lit(tail))) > most)
+    step = lambda now, part: F.when(over(now, part), part).otherwise(F.concat(now, F.lit(glue), part))
 
-    def step(acc: Column, part: Column) -> Column:
-        whole = F.concat(acc["now"], F.lit(glue), part)
-        full = acc["now"].isNull()
-        over = tokens(F.concat(whole, F.lit(tail))) > most
-        return F.when(full, F.struct(acc["done"].alias("done"), part.alias("now"))).otherwise(
-            F.when(over, F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), part.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), whole.alias("now")))
-        )
+    def packed(held: Column) -> Column:
+        before = scanned(held, F.lit(None).cast("string"), "string", step)
+        return bound(before, lambda b: _joined(held, F.transform(held, lambda part, i: over(F.get(b, i), part)), glue))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    return bound(parts, packed)
 
 
 def split_lines(text: Column, most: int, tokens: Callable[[Column], Column] = tokens_by_words) -> Column:
@@ -103,16 +107,15 @@ def split_sentences_hard(text: Column, most: int) -> Column:
 
 def split_sentences_sum(text: Column, most: int) -> Column:
     """Sentences put together while the sum of their own counts is within the budget; never empty, never cut."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+    sizes = lambda parts: F.transform(parts, tokens_by_quarter)
+    step = lambda n, x: F.when(n.isNull() | (n + x > most), x).otherwise(n + x)
 
-    def step(acc: Column, s: Column) -> Column:
-        n = tokens_by_quarter(s)
-        fresh = F.struct(acc["done"].alias("done"), s.alias("now"), n.alias("n"))
-        flushed = F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), s.alias("now"), n.alias("n"))
-        longer = F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit(" "), s).alias("now"), (acc["n"] + n).alias("n"))
-        return F.when(acc["now"].isNull(), fresh).when(acc["n"] + n > most, flushed).otherwise(longer)
+    def packed(parts: Column) -> Column:
+        before = bound(sizes(parts), lambda held: scanned(held, F.lit(None).cast("int"), "int", step))
+        fresh = lambda b: F.transform(parts, lambda part, i: F.get(b, i).isNull() | (F.get(b, i) + tokens_by_quarter(part) > most))
+        return bound(before, lambda b: _joined(parts, fresh(b), " "))
 
-    return F.aggregate(sentences(text), start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return bound(sentences(text), packed)
 
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -151,35 +154,39 @@ def split_recursive(text: str, most: int, overlap: int, count: Callable[[str], i
     return out
 
 
-def _words_count(text: str) -> int:
+def words_count(text: str) -> int:
     return max(1, len(text.split()) * 13 // 10)
 
 
-def recursive_splitter(most: int, overlap: int) -> Callable[[Column], Column]:
-    """``array<string>`` of prose pieces; ``most`` is four times the gate of the chunker, as in its established form."""
+def recursive_splitter(most: int, overlap: int, count: Callable[[str], int] = words_count) -> Callable[[Column], Column]:
+    """``array<string>`` of prose pieces; ``most`` is four times the gate of the chunker, as in its established form. ``count`` must be picklable."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(text: pd.Series) -> pd.Series:
-        return pd.Series([[] if t is None else split_recursive(t, most, overlap, _words_count) for t in text])
+        return pd.Series([[] if t is None else split_recursive(t, most, overlap, count) for t in text])
 
     return split
 
 
-def chunks_of_sections(df: DataFrame, most: int, overlap: int = 50, split_prose: bool = True) -> DataFrame:
+def chunks_of_sections(
+    df: DataFrame, most: int, overlap: int = 50, split_prose: bool = True, tokens: Callable[[Column], Column] = tokens_by_words, count: Callable[[str], int] = words_count
+) -> DataFrame:
     """One row for each piece of each block: ``section_idx, block_idx, piece_idx, content, content_type, estimated_tokens``.
 
-    Only prose above the budget goes through Python a second time.
+    Only prose above the budget goes through Python a second time. A
+    tokenizer is plugged in as ``tokens`` (a column of counts) and ``count``
+    (the same for one text).
     """
     c = F.col
     content = stripped(c("section_content"))
     blocks = df.select("*", F.posexplode(exact_blocks(content)).alias("block_idx", "_b"))
     blocks = blocks.withColumn("content_type", c("_b.content_type")).withColumn("_text", c("_b.content")).drop("_b")
-    over = (c("content_type") == "prose") & (tokens_by_words(c("_text")) > most)
+    over = (c("content_type") == "prose") & (tokens(c("_text")) > most)
     long = blocks.where(over)
     rest = blocks.where(~over)
-    pieces = F.when(c("content_type") == "table", split_table(c("_text"), most)).when(c("content_type").isin("code", "math"), split_lines(c("_text"), most)).otherwise(F.array("_text"))
+    pieces = F.when(c("content_type") == "table", split_table(c("_text"), most, tokens)).when(c("content_type").isin("code", "math"), split_lines(c("_text"), most, tokens)).otherwise(F.array("_text"))
     rest = rest.select("*", F.posexplode(pieces).alias("piece_idx", "content"))
-    cut = recursive_splitter(4 * most, overlap)(c("_text")) if split_prose else F.array("_text")
+    cut = recursive_splitter(4 * most, overlap, count)(c("_text")) if split_prose else F.array("_text")
     long = long.select("*", F.posexplode(cut).alias("piece_idx", "content"))
     both = rest.unionByName(long).where(~((c("content_type") == "prose") & (stripped(c("content")) == "")))
-    return both.withColumn("estimated_tokens", tokens_by_words(c("content"))).drop("_text")
+    return both.withColumn("estimated_tokens", tokens(c("content"))).drop("_text")

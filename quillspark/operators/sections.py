@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NUMBERED, bound, heading_style, stripped, text_lines
+from ..functions.text import NUMBERED, bound, heading_style, part_of, scanned, stripped, text_lines
 
 
 def _at(line: Column, place: Column) -> Column:
@@ -30,20 +30,19 @@ def markdown_headings(text: Column, levels: int = 4) -> Column:
     mark = rf"^(#{{1,{levels}}})\s+(.*)$"
     marked = lambda x: x["line"].rlike(r"^(?:```|~~~)") | x["line"].rlike(mark)
     placed = F.filter(F.transform(text_lines(text), lambda x, i: F.struct(i.alias("at"), stripped(x).alias("line"))), marked)
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<struct<at:int,line:string>>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fence = ~x["line"].startswith("#")
-        found = F.when(fence | acc["fenced"], acc["found"]).otherwise(F.concat(acc["found"], F.array(x)))
-        return F.struct((acc["fenced"] != fence).alias("fenced"), found.alias("found"))
+    def outside(lines: Column) -> Column:
+        """Headings among fences and headings, where an even number of fences stands before."""
+        fenced = scanned(lines, F.lit(False), "boolean", lambda s, x: s != ~x["line"].startswith("#"))
+        return bound(fenced, lambda f: F.filter(lines, lambda x, i: x["line"].startswith("#") & ~F.get(f, i)))
 
     return F.transform(
-        F.aggregate(placed, start, step, lambda acc: acc["found"]),
+        bound(placed, outside),
         lambda x: F.struct(x["at"].alias("at"), F.length(F.regexp_extract(x["line"], mark, 1)).alias("level"), F.regexp_extract(x["line"], mark, 2).alias("header")),
     )
 
 
-_SECTION = "struct<section_idx:int,section_header:string,section_level:int,parent_section:string,top_header:string,section_content:string,char_start:int,char_end:int>"
+_LIVE = "struct<live:array<struct<level:int,header:string>>,top:string,chars:int>"
 
 
 def sections(df: DataFrame, headings: Column, text: str = "markdown") -> DataFrame:
@@ -52,37 +51,43 @@ def sections(df: DataFrame, headings: Column, text: str = "markdown") -> DataFra
     The heading line stays in the content. The parent is the live heading
     one level up, null where that level is absent; text before the first
     heading has no header. ``char_start`` counts the contents before. Null
-    texts have no section. One fold over the headings, which keeps the live
-    ones, so each line is handled once.
+    texts have no section. One scan over the headings, which keeps the live
+    ones, so the time grows with the text.
     """
     nothing = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("header"))
-    last = lambda live: F.element_at(F.concat(F.array(nothing), live), -1)
+    none = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("header"))
+    last = lambda live: F.element_at(F.concat(F.array(none), live), -1)
+    above = lambda s, x: F.filter(s["live"], lambda o: o["level"] < x["level"])
+    top = lambda s, x: F.when(x["level"] == 1, x["header"]).otherwise(s["top"])
 
-    def folded(held: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
+        own = F.struct(x["level"].alias("level"), x["header"].alias("header"))
+        live = F.when(x["level"].isNull(), s["live"]).otherwise(F.concat(above(s, x), F.array(own)))
+        return F.struct(live.alias("live"), top(s, x).alias("top"), (s["chars"] + x["size"]).alias("chars"))
+
+    def parts(held: Column) -> Column:
         lines, h = held["lines"], held["heads"]
         bounds = F.when((F.size(h) == 0) | (F.coalesce(F.get(h, F.lit(0))["at"], F.lit(0)) > 0), F.concat(F.array(nothing), h)).otherwise(h)
-        parts = lambda b: F.transform(b, lambda x, i: F.struct(x.alias("head"), (F.coalesce(F.get(b, i + 1)["at"], F.size(lines)) - x["at"]).alias("n"), i.alias("i")))
-        start = F.struct(
-            F.array().cast("array<struct<at:int,level:int,header:string>>").alias("live"), F.lit(None).cast("string").alias("top"), F.lit(0).alias("chars"), F.array().cast(f"array<{_SECTION}>").alias("done")
-        )
-
-        def step(acc: Column, x: Column) -> Column:
-            b = x["head"]
-            live = F.filter(acc["live"], lambda o: o["level"] < b["level"])
-            top = F.when(b["level"] == 1, b["header"]).otherwise(acc["top"])
-            content = F.array_join(F.slice(lines, b["at"] + 1, x["n"]), "\n")
-            end = acc["chars"] + F.length(content)
-            section = F.struct(
-                x["i"].alias("section_idx"), b["header"].alias("section_header"), b["level"].alias("section_level"), F.when(last(live)["level"] == b["level"] - 1, last(live)["header"]).alias("parent_section"),
-                top.alias("top_header"), content.alias("section_content"), acc["chars"].alias("char_start"), end.alias("char_end"),
+        content = lambda b, x, i: F.array_join(part_of(lines, x["at"], F.coalesce(F.get(b, i + 1)["at"], F.size(lines))), "\n")
+        cut = bound(bounds, lambda b: F.transform(b, lambda x, i: F.struct(x["level"].alias("level"), x["header"].alias("header"), content(b, x, i).alias("content"))))
+        return F.transform(cut, lambda x: x.withField("size", F.length(x["content"])))
+
+    def whole(cut: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<level:int,header:string>>").alias("live"), F.lit(None).cast("string").alias("top"), F.lit(0).alias("chars"))
+        slim = F.transform(cut, lambda x: x.dropFields("content"))
+
+        def section(x: Column, i: Column, s: Column) -> Column:
+            up = last(above(s, x))
+            return F.struct(
+                i.alias("section_idx"), x["header"].alias("section_header"), x["level"].alias("section_level"), F.when(up["level"] == x["level"] - 1, up["header"]).alias("parent_section"),
+                top(s, x).alias("top_header"), x["content"].alias("section_content"), s["chars"].alias("char_start"), (s["chars"] + x["size"]).alias("char_end"),
             )
-            kept = F.when(b["level"].isNull(), acc["live"]).otherwise(F.concat(live, F.array(b)))
-            return F.struct(kept.alias("live"), top.alias("top"), end.alias("chars"), F.concat(acc["done"], F.array(section)).alias("done"))
 
-        return bound(bounds, lambda b: F.aggregate(parts(b), start, step, lambda acc: acc["done"]))
+        states = bound(slim, lambda items: scanned(items, start, _LIVE, step))
+        return bound(states, lambda held: F.transform(cut, lambda x, i: section(x, i, F.get(held, i))))
 
     found = df.where(F.col(text).isNotNull()).withColumn("_held", F.struct(text_lines(F.col(text)).alias("lines"), headings.alias("heads")))
-    return found.select(*df.columns, F.explode(bound(F.col("_held"), folded)).alias("_s")).select(*df.columns, "_s.*")
+    return found.select(*df.columns, F.explode(bound(bound(F.col("_held"), parts), whole)).alias("_s")).select(*df.columns, "_s.*")
 
 
 def numeric_sections(df: DataFrame, text: str = "markdown") -> DataFrame:

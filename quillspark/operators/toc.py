@@ -129,6 +129,8 @@ def lookup(flat: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 FIELDS = ("full_path", "level", "numeric_id", "parent_id")
+#: Parts into which the headers of a document are dealt where keys must be searched.
+PARTS = 8
 
 
 def enriched(chunks: DataFrame, keys: DataFrame, doc: str = "doc_id", header: str = "section_header", empty_matches: bool = False) -> DataFrame:
@@ -144,7 +146,10 @@ def enriched(chunks: DataFrame, keys: DataFrame, doc: str = "doc_id", header: st
     heads = heads.where("_h is not null") if empty_matches else heads.where(stripped(F.col("_h")) != "")
     exact = heads.join(keys.select(doc, F.col("key").alias("_h"), *fields), [doc, "_h"])
     open_ = heads.join(exact.select(doc, "_h"), [doc, "_h"], "left_anti")
-    inside = open_.join(keys.select(doc, "key", "key_no", *fields), doc).where(F.contains(F.lower("key"), F.lower("_h")))
+    # headers of a document are dealt to parts, each of which meets all keys of the document
+    dealt = open_.withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(PARTS)))
+    spread = keys.select(doc, "key", "key_no", *fields, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("_part"))
+    inside = dealt.join(spread, [doc, "_part"]).where(F.contains(F.lower("key"), F.lower("_h")))
     names = [f"toc_{x}" for x in FIELDS]
     first = inside.groupBy(doc, "_h").agg(F.min_by(F.struct(*names), "key_no").alias("_e")).select(doc, "_h", "_e.*")
     return chunks.join(exact.unionByName(first).withColumnRenamed("_h", header), [doc, header], "left")

@@ -179,6 +179,10 @@ HASHED = f"""f AS (SELECT doc_id, {_FLAT} AS flat FROM documents WHERE regexp_re
     c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT gram, substr(md5(gram), 17) AS h FROM (SELECT DISTINCT gram FROM c)),
     v AS (SELECT doc_id, sum(n) AS total, {_BITS} FROM c JOIN u USING (gram) GROUP BY doc_id),
     fps AS (SELECT d.doc_id, d.text, coalesce({_DIGITS}, repeat('0', 16)) AS simhash FROM documents d LEFT JOIN v USING (doc_id))"""
+_WORDS = f"""g AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({LOWER.format('text')}, '{PS}+'), lambda w: w <> '')) AS gram FROM documents),
+    c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT gram, substr(md5(gram), 17) AS h FROM (SELECT DISTINCT gram FROM c)),
+    v AS (SELECT doc_id, sum(n) AS total, {_BITS} FROM c JOIN u USING (gram) GROUP BY doc_id)"""
+SIMHASH_WORDS = f"WITH {_WORDS} SELECT d.doc_id, coalesce({_DIGITS}, repeat('0', 16)) AS simhash FROM documents d LEFT JOIN v USING (doc_id)"
 SIMHASH = f"WITH {HASHED} SELECT doc_id, simhash FROM fps"
 NGRAM_COUNTS = f"SELECT doc_id, greatest(length({_FLAT}) - 2, 1)::BIGINT + CASE WHEN text IS NULL THEN NULL ELSE 0 END AS n_grams FROM documents"
 

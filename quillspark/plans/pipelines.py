@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BATCH, LAYOUT, PAGES, SINGLE, Chunking, Parity
@@ -18,15 +18,17 @@ from ..operators.block_store import BlockStore
 from ..session import cut
 
 
-def chunked(docs: DataFrame, settings: Chunking = SINGLE, doc: str = "file_id", text: str = "markdown") -> DataFrame:
+def chunked(
+    docs: DataFrame, settings: Chunking = SINGLE, doc: str = "file_id", text: str = "markdown", tokens: Callable[[Column], Column] = tokens_by_words, count: Callable[[str], int] = blocks.words_count
+) -> DataFrame:
     """Sections, blocks, pieces, merged short ones, scanner waste removed: one row a chunk, ``chunk_index`` from 0."""
     found = sections.styled_sections(docs.select(doc, text), text).where(stripped(F.col("section_content")) != "")
-    pieces = blocks.chunks_of_sections(found, settings.most_tokens, settings.overlap_tokens, settings.split_prose)
+    pieces = blocks.chunks_of_sections(found, settings.most_tokens, settings.overlap_tokens, settings.split_prose, tokens, count)
     order = ["section_idx", "block_idx", "piece_idx"]
     kept = pieces.select(doc, *order, "content", "content_type", "estimated_tokens", "section_header", "section_level", "parent_section", "top_header")
-    merged = merge.merge_short(kept, doc, order, settings.most_tokens, settings.least_tokens) if settings.merge_short else links.numbered(kept, doc, order)
+    merged = merge.merge_short(kept, doc, order, settings.most_tokens, settings.least_tokens, tokens=tokens) if settings.merge_short else links.numbered(kept, doc, order)
     clean = merged.drop(*order).withColumn("content", without_waste(F.col("content"), F.col("content_type")))
-    return clean.withColumn("estimated_tokens", tokens_by_words(F.col("content")))
+    return clean.withColumn("estimated_tokens", tokens(F.col("content")))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def _identified(docs: DataFrame) -> DataFrame:
 def screened(docs: DataFrame, known: DataFrame | None = None, on_duplicate: str = "skip", store: BlockStore | None = None) -> DataFrame:
     """Adds ``simhash``, ``status`` (ok, skipped, failed), ``reason`` and ``matches``; judged in order of ``seq``.
 
-    ``docs``: path, markdown, seq; a null markdown has failed. ``known``
+    ``docs``: path, markdown, seq; a null markdown has failed, and so has a
+    row with an ``error`` of its converter, which is the reason. ``known``
     holds (file_id, simhash) of earlier runs, all of which count as
     accepted; instead of it ``store`` holds them as block tables, which are
     read by key only, and takes up what is accepted now. ``matches`` are the
@@ -44,7 +47,8 @@ def screened(docs: DataFrame, known: DataFrame | None = None, on_duplicate: str
     ``on_duplicate='keep'`` marks nothing as skipped.
     """
     marked = cut(_identified(docs).withColumn("simhash", simhash(F.col("markdown"))))
-    usable = marked.where("markdown is not null").select(F.col("file_id").cast("string").alias("id"), as_bits(F.col("simhash")).alias("fp"), F.col("seq").cast("bigint").alias("seq"))
+    sound = "markdown is not null and error is null" if "error" in docs.columns else "markdown is not null"
+    usable = marked.where(sound).select(F.col("file_id").cast("string").alias("id"), as_bits(F.col("simhash")).alias("fp"), F.col("seq").cast("bigint").alias("seq"))
     if store is not None:
         _, matches = block_store.screened(store, usable)
     else:
@@ -52,8 +56,9 @@ def screened(docs: DataFrame, known: DataFrame | None = None, on_duplicate: str
         _, matches = hamming.judged(usable, near)
     named = matches.groupBy("id").agg(F.array_sort(F.collect_set("match_id")).alias("matches")).withColumnRenamed("id", "file_id")  # accepted within three bits of one: few
     out = marked.join(named, "file_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<string>")))
-    status = F.when(F.col("markdown").isNull(), "failed").when((F.size("matches") > 0) & F.lit(on_duplicate == "skip"), "skipped").otherwise("ok")
-    reason = F.when(status == "failed", "no text").when(status == "skipped", "duplicate")
+    broken = F.col("markdown").isNull() if "error" not in docs.columns else F.col("markdown").isNull() | F.col("error").isNotNull()
+    status = F.when(broken, "failed").when((F.size("matches") > 0) & F.lit(on_duplicate == "skip"), "skipped").otherwise("ok")
+    reason = F.when(status == "failed", F.coalesce("error", F.lit("no text")) if "error" in docs.columns else F.lit("no text")).when(status == "skipped", "duplicate")
     return out.withColumn("status", status).withColumn("reason", reason)
 
 

@@ -12,7 +12,8 @@ from .config import BATCH, SINGLE
 from .functions import fingerprint, text
 from .operators import annotate, blocks, evaluate, hamming, links, merge, sections, toc
 from .plans import pipelines
-from .sources import readers
+from .session import shared_path
+from .sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,6 +293,11 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", fingerprint.simhash(F.col("text")).alias("simhash"))
 
 
+@_query(oracles.SIMHASH_WORDS)
+def simhash_words(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", fingerprint.simhash(F.col("text"), by_words=True).alias("simhash"))
+
+
 _FP = """fp AS (SELECT DISTINCT file_id, seq, lpad(lower(regexp_extract(simhash, '^\\s*(?:0[xX])?0*([0-9a-fA-F]{1,16})\\s*$', 1)), 16, '0') AS hex FROM files
     WHERE regexp_extract(simhash, '^\\s*(?:0[xX])?0*([0-9a-fA-F]{1,16})\\s*$', 1) NOT IN ('', '0')), num AS (SELECT file_id, seq, hex, ('0x' || hex)::UBIGINT AS v FROM fp)"""
 
@@ -325,12 +331,44 @@ def dedup_status_summary(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_greedy(spark, folder).groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Files of the first batches count as known, all others are judged.
+_KNOWN_BATCHES = 5
+
+
+@_query(
+    f"""WITH f AS (SELECT file_id, arg_min({{'seq': seq, 'batch_no': batch_no, 'simhash': simhash}}, seq) AS r FROM files WHERE file_id IS NOT NULL GROUP BY file_id),
+    x AS (SELECT file_id, r.seq AS seq, r.batch_no AS batch_no, regexp_extract(r.simhash, '^\\s*(?:0[xX])?0*([0-9a-fA-F]{{1,16}})\\s*$', 1) AS hex FROM f),
+    n AS (SELECT file_id AS id, seq AS o, batch_no, ('0x' || hex)::UBIGINT AS v FROM x WHERE hex NOT IN ('', '0')), known AS (SELECT id, v FROM n WHERE batch_no < {_KNOWN_BATCHES}), r AS (SELECT id, o, v FROM n WHERE batch_no >= {_KNOWN_BATCHES}),
+    {oracles.greedy('r').replace('{kind}', 'VARCHAR')}, a AS (SELECT y.id AS id FROM (SELECT unnest(kept) AS y FROM k) WHERE y.id IS NOT NULL),
+    e AS (SELECT id, v, -1 AS o FROM known UNION ALL SELECT r.id, r.v, r.o FROM r JOIN a USING (id)),
+    c AS (SELECT r.id, count(*) AS n FROM r JOIN e ON e.o < r.o AND e.id <> r.id AND bit_count(xor(e.v, r.v)) <= 3 GROUP BY r.id)
+    SELECT r.id AS file_id, a.id IS NOT NULL AS accepted, coalesce(c.n, 0)::BIGINT AS n_matches FROM r LEFT JOIN a USING (id) LEFT JOIN c USING (id)"""
+)
+def dedup_against_known(spark: SparkSession, folder: str) -> DataFrame:
+    first = _files(spark, folder).where("file_id is not null").groupBy("file_id").agg(F.min(F.struct("seq", "batch_no", "simhash")).alias("r"))
+    rows = first.select(F.col("file_id").alias("id"), "r.seq", "r.batch_no", hamming.fingerprint(F.col("r.simhash")).alias("fp")).where("fp is not null")
+    fresh = rows.where(F.col("batch_no") >= _KNOWN_BATCHES)
+    accepted, matches = hamming.judged(fresh, hamming.entries_of(rows.where(F.col("batch_no") < _KNOWN_BATCHES)))
+    counted = matches.groupBy("id").agg(F.count("*").alias("n_matches"))
+    judged = fresh.join(accepted.select("id", F.lit(True).alias("accepted")), "id", "left").join(counted, "id", "left")
+    return judged.select(F.col("id").alias("file_id"), F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+
+
 @_query(f"WITH {_FP} SELECT file_id, seq, bit_count(xor(v, ('0x0123456789abcdef')::UBIGINT))::BIGINT AS distance FROM num")
 def hamming_distance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _files(spark, folder).select("file_id", "seq", hamming.fingerprint(F.col("simhash")).alias("fp")).where("fp is not null").distinct()
     return rows.select("file_id", "seq", F.bit_count(F.col("fp").bitwiseXOR(F.lit(0x0123456789ABCDEF))).cast("bigint").alias("distance"))
 
 
+@_query(f"WITH {_FP} SELECT count(DISTINCT file_id) AS files, count(DISTINCT {{'band': b, 'bits': substr(hex, 4 * b + 1, 4)}}) AS buckets FROM num, (VALUES (0), (1), (2), (3)) AS t(b)")
+def index_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with a fingerprint and buckets of four bands of 16 bits, which is what an index of distance 3 counts as its size."""
+    rows = _files(spark, folder).select("file_id", hamming.fingerprint(F.col("simhash")).alias("fp")).where("fp is not null")
+    bands = rows.select("file_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.struct(b.alias("band"), F.col("fp").alias("fp")))).alias("b"))
+    bits = F.expr("shiftrightunsigned(b.fp, 48 - 16 * b.band) & 65535")
+    return bands.agg(F.countDistinct("file_id").alias("files"), F.countDistinct(F.struct("b.band", bits)).alias("buckets"))
+
+
 @_query("SELECT count(DISTINCT file_id) AS files, count(DISTINCT simhash) AS fingerprints FROM files WHERE file_id <> '' AND simhash <> ''")
 def index_size(spark: SparkSession, folder: str) -> DataFrame:
     return readers.known_fingerprints(_files(spark, folder)).agg(F.countDistinct("file_id").alias("files"), F.countDistinct("simhash").alias("fingerprints"))
@@ -413,12 +451,12 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(f"SELECT chunk_id, (row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_id) - 1)::INTEGER AS position FROM {_ROWS}")
 def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
-    return links.numbered(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"], "position").select("chunk_id", "position")
+    return links.numbered(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"], "position", span=links.SPAN).select("chunk_id", "position")
 
 
 @_query(f"SELECT chunk_id, lag(chunk_id, 1, '') OVER w AS prev_chunk_id, lead(chunk_id, 1, '') OVER w AS next_chunk_id FROM {_ROWS} WINDOW w AS (PARTITION BY file_id ORDER BY chunk_index, chunk_id)")
 def chunk_links_uuid_style(spark: SparkSession, folder: str) -> DataFrame:
-    return links.linked(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"]).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+    return links.linked(_rows(spark, folder), "file_id", ["chunk_index", "chunk_id"], span=links.SPAN).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
 @_query(
@@ -427,21 +465,21 @@ def chunk_links_uuid_style(spark: SparkSession, folder: str) -> DataFrame:
 )
 def chunk_links_file_style(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder).withColumnRenamed("chunk_id", "old_id")
-    return links.file_style_ids(rows, "file_id", ["chunk_index", "old_id"]).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+    return links.file_style_ids(rows, "file_id", ["chunk_index", "old_id"], links.SPAN).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
 @_query(oracles.MERGE_SHORT)
 def merge_short(spark: SparkSession, folder: str) -> DataFrame:
     rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
     rows = rows.withColumn("estimated_tokens", text.tokens_by_words(F.col("content")))
-    return merge.merge_short(rows, "file_id", ["place", "chunk_id"], SINGLE.most_tokens, SINGLE.least_tokens)
+    return merge.merge_short(rows, "file_id", ["place", "chunk_id"], SINGLE.most_tokens, SINGLE.least_tokens, links.SPAN)
 
 
 @_query(oracles.JOIN_SHORT)
 def join_short(spark: SparkSession, folder: str) -> DataFrame:
     rows = _distinct_chunks(spark, folder).withColumnRenamed("chunk_index", "place").withColumn("content", F.coalesce("content", F.lit("")))
     rows = rows.withColumn("estimated_tokens", text.tokens_by_length(F.col("content")))
-    return merge.join_short(rows, "file_id", ["place", "chunk_id"], 50)
+    return merge.join_short(rows, "file_id", ["place", "chunk_id"], 50, span=links.SPAN)
 
 
 @_query(
@@ -460,6 +498,40 @@ def annotation_range_join(spark: SparkSession, folder: str) -> DataFrame:
     return annotate.placed(marks, spans, "file_id").select("file_id", F.col("annotation_no").alias("entry_no"), "chunk_index")
 
 
+@_query(
+    f"""WITH a AS (SELECT file_id, entry_no, numeric_id || ' ' || title AS self_ref, title AS caption FROM toc_entries),
+    c AS (SELECT DISTINCT file_id, chunk_index, lower(content) AS low FROM chunks WHERE content IS NOT NULL),
+    h AS (SELECT a.file_id, a.entry_no, min(c.chunk_index) AS chunk_index FROM a JOIN c USING (file_id) WHERE contains(low, '<!-- image -->') OR contains(low, '![')
+        OR (caption <> '' AND contains(low, lower(substr(caption, 1, 50)))) OR (self_ref <> '' AND contains(low, lower(self_ref))) GROUP BY ALL)
+    SELECT a.file_id, a.entry_no, h.chunk_index::INTEGER AS chunk_index FROM a LEFT JOIN h USING (file_id, entry_no)"""
+)
+def annotation_content_join(spark: SparkSession, folder: str) -> DataFrame:
+    marks = _toc(spark, folder).select(
+        "file_id", F.col("entry_no").alias("annotation_no"), F.lit(None).cast("bigint").alias("pos"), F.col("title").alias("caption"), F.concat("numeric_id", F.lit(" "), "title").alias("self_ref")
+    )
+    spans = _chunks(spark, folder).where("content is not null").select("file_id", "chunk_index", "content", F.lit(None).cast("bigint").alias("char_start"), F.lit(None).cast("bigint").alias("char_end"))
+    return annotate.placed(marks, spans, "file_id").select("file_id", F.col("annotation_no").alias("entry_no"), "chunk_index")
+
+
+_MARKS = f"""m AS (SELECT doc_id, text, 0 AS annotation_no, substr(text, 101, 20) AS reference, NULL::VARCHAR AS caption FROM documents UNION ALL SELECT doc_id, text, 1, '', {oracles.LOWER.format('substr(text, 51, 30)')} FROM documents
+    UNION ALL SELECT doc_id, text, 2, NULL, NULL FROM documents UNION ALL SELECT doc_id, text, 3, 'in no text', 'nor this one' FROM documents)"""
+_IMAGE = "(?i)<!--[\\t\\n\\x0b\\f\\r ]*image[\\t\\n\\x0b\\f\\r ]*-->|!\\[[^\\n\\r\\x{85}\\x{2028}\\x{2029}]*?\\]\\([^\\n\\r\\x{85}\\x{2028}\\x{2029}]*?\\)"
+
+
+@_query(
+    f"""WITH {_MARKS}, p AS (SELECT *, regexp_extract_all(text, '{_IMAGE}') AS images, regexp_split_to_array(text, '{_IMAGE}') AS gaps FROM m)
+    SELECT doc_id, annotation_no, coalesce(CASE WHEN reference <> '' THEN nullif(strpos(text, reference), 0) - 1 END, CASE WHEN caption <> '' THEN nullif(strpos({oracles.LOWER.format('text')}, {oracles.LOWER.format('caption')}), 0) - 1 END,
+        CASE WHEN len(images) > annotation_no THEN list_sum(list_transform(gaps[1:annotation_no + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(images[1:annotation_no], lambda x: length(x))), 0) END)::INTEGER AS pos FROM p"""
+)
+def annotation_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """By reference, by caption in lower case, by the marker of the number, and by none of them."""
+    t, none = F.col("text"), F.lit(None).cast("string")
+    marks = [(F.substring(t, 101, 20), none), (F.lit(""), F.lower(F.substring(t, 51, 30))), (none, none), (F.lit("in no text"), F.lit("nor this one"))]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("annotation_no"), r.alias("reference"), c.alias("caption")) for n, (r, c) in enumerate(marks)]))
+    rows = _documents(spark, folder).select("doc_id", "text", each.alias("a")).select("doc_id", "text", "a.*")
+    return rows.select("doc_id", "annotation_no", annotate.position(t, F.col("reference"), F.col("caption"), F.col("annotation_no")).alias("pos"))
+
+
 @_query("SELECT f.file_id, count(DISTINCT c.chunk_id) AS n_chunks FROM (SELECT DISTINCT file_id FROM files) f LEFT JOIN chunks c USING (file_id) GROUP BY f.file_id")
 def file_chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = _rows(spark, folder).groupBy("file_id").agg(F.count("*").alias("n_chunks"))
@@ -474,6 +546,17 @@ def enrichment_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return readers.question_pairs(spark.read.parquet(f"{folder}/enrichment.parquet"))
 
 
+@_query(
+    """SELECT chunk_id, created_at, file_id, chunk_index, nullif(content, '') AS content, nullif(section_header, '') AS section_header, estimated_tokens, quality_score, should_use FROM chunks"""
+)
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of chunks written as CSV and read again; empty cells come back as null."""
+    path = shared_path(spark, "chunks-csv")
+    names = [c.split()[0] for c in readers.CHUNKS_SCHEMA.split(", ")]
+    sinks.append(_chunks(spark, folder).select(*names), path, "csv")
+    return readers.chunks_csv(spark, path).select("chunk_id", "created_at", "file_id", "chunk_index", "content", "section_header", "estimated_tokens", "quality_score", "should_use")
+
+
 def _as_files(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select(F.format_string("doc-%012d", "doc_id").alias("path"), F.format_string("doc-%012d", "doc_id").alias("file_id"), F.col("text").alias("markdown"), F.col("doc_id").alias("seq"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -35,15 +38,22 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Reads ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is made.
+    Reads ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    is made for a session on this machine alone (``local`` master), which
+    removes it when it ends; on a cluster this is an error.
     """
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -40,7 +40,7 @@ def append(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Add rows to a table of files or chunks; CSV with a head line, quotes doubled."""
     writer = df.write.mode("append")
     if form == "csv":
-        writer.csv(path, header=True, escape='"', emptyValue="")
+        writer.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         writer.format(form).save(path)
 

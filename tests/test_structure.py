@@ -274,3 +274,40 @@ def test_store_equals_brute_force_batch_by_batch(spark, tmp_path, monkeypatch, h
     one = hamming.keyed(spark.createDataFrame([(base[1],)], "fp long"), hamming.block_masks())
     assert 0 < store.rows_read(one) < store.accepted().count() * 20
     assert block_store.screened(block_store.BlockStore(spark, f"{tmp_path}/none"), batch.limit(0))[1].count() == 0
+
+
+def test_documents_may_be_cut_for_windows(spark):
+    r = random.Random(4)
+    words = ["", "w", "w w w. w", "word " * 60]
+    rows = [(r.choice(["hot", "hot", "a", None]), i, f"c{i:03}", r.choice(words), r.choice(["S", "S", "T", None, "Abstract", "KEYWORDS"]), r.choice(["prose", "prose", "code"])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "file_id string, place int, chunk_id string, content string, section_header string, content_type string").withColumn("estimated_tokens", F.size(F.filter(F.split("content", " "), lambda w: w != "")))
+    order = ["place", "chunk_id"]
+    same = lambda a, b: sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    assert same(links.numbered(frame, "file_id", order), links.numbered(frame, "file_id", order, span=7))
+    assert same(links.linked(frame, "file_id", order), links.linked(frame, "file_id", order, span=7))
+    assert same(links.file_style_ids(frame, "file_id", order), links.file_style_ids(frame, "file_id", order, 7))
+    merged = merge.merge_short(frame, "file_id", order, 40, 10)
+    assert merged.count() < 300 and same(merged, merge.merge_short(frame, "file_id", order, 40, 10, 7))
+    assert same(merge.join_short(frame, "file_id", order, 10), merge.join_short(frame, "file_id", order, 10, span=7))
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    doc = lambda n: "\n".join(f"{'#' * (1 + i % 4)} Head {i}\ntext {i}" for i in range(n))
+    frame = spark.createDataFrame([(1, doc(20_000))], "doc_id int, markdown string")
+    rows = sections.markdown_sections(frame).orderBy("section_idx").collect()
+    assert len(rows) == 20_000 and rows[7].parent_section == "Head 6" and rows[-1].char_end == sum(len(r.section_content) for r in rows)
+
+
+def test_nested_contents(spark):
+    import json
+
+    text = "1. Scope .... 1\n1.1 Aim .... 2\n1.2 Range\n2 Method .... 9"
+    row = toc.nested(toc.parsed(spark.createDataFrame([(1, text), (2, None)], "doc_id int, t string"), "t")).collect()
+    tree = json.loads(row[0].contents)
+    assert len(row) == 1 and [(e["title"], [c["title"] for c in e["children"]]) for e in tree] == [("Scope", ["Aim", "Range"]), ("Method", [])] and tree[0]["children"][0]["page"] == 2
+
+
+def test_roots_and_deep_levels(spark):
+    rows = [(1, 0, "A", 1, "1", None), (1, 1, "B", 2, None, None), (2, 0, "X", 11, None, None), (2, 1, "Y", 12, None, None), (2, 2, "Z", 13, None, None)]
+    flat = spark.createDataFrame(rows, "file_id int, entry_no int, title string, level int, numeric_id string, parent_id string")
+    assert {(r.title, r.parent_title) for r in toc.resolved(flat).collect()} == {("A", None), ("B", None), ("X", None), ("Y", "X"), ("Z", "Y")}
