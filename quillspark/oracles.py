@@ -150,18 +150,25 @@ def packed(parts: str, glue: str, over: str) -> str:
     return _ended(f"list_reduce({parts}, lambda acc, x: {step}, {_EMPTY})")
 
 
-SENTENCES_SUM = _numbered(
-    "documents WHERE text IS NOT NULL", "doc_id",
-    _ended(f"""list_reduce({sentences('text')}, lambda acc, x: CASE WHEN acc.now IS NULL THEN {{'done': acc.done, 'now': x, 'n': (length(x) // 4)::BIGINT}}
-        WHEN acc.n + length(x) // 4 > 300 THEN {{'done': list_append(acc.done, acc.now), 'now': x, 'n': (length(x) // 4)::BIGINT}} ELSE {{'done': acc.done, 'now': acc.now || ' ' || x, 'n': (acc.n + length(x) // 4)::BIGINT}} END, {_EMPTY})"""),
-    "piece_idx", "content",
-)
-_TOKEN = "'@@CODE' || (i - 1) || '@@'"
-SENTENCES_HARD = f"""WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```.*?```') AS fences FROM documents WHERE text IS NOT NULL),
-    h AS (SELECT *, list_reduce(range(1, len(fences) + 1), lambda acc, i: replace(acc, fences[i], {_TOKEN}), text) AS hidden FROM f),
-    p AS (SELECT doc_id, text, fences, {packed(f"list_filter({sentences('hidden')}, lambda s: s <> '')", "' '", "length(whole) // 4 > 300")} AS pieces FROM h),
-    b AS (SELECT doc_id, text, list_transform(pieces, lambda p: list_reduce(range(1, len(fences) + 1), lambda acc, i: replace(acc, {_TOKEN}, fences[i]), {strip('p')})) AS shown FROM p),
-    c AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE flatten(list_transform(shown, lambda p: CASE WHEN length(p) // 4 > 300 THEN list_transform(range((length(p) - 1) // 1200 + 1), lambda k: substr(p, k * 1200 + 1, 1200)) ELSE [p] END)) END AS pieces FROM b)
+def sum_pieces(x: str, most: int) -> str:
+    """Sentences put together while the sum of their own counts is within the budget."""
+    return _ended(f"""list_reduce({sentences(x)}, lambda acc, x: CASE WHEN acc.now IS NULL THEN {{'done': acc.done, 'now': x, 'n': (length(x) // 4)::BIGINT}}
+        WHEN acc.n + length(x) // 4 > {most} THEN {{'done': list_append(acc.done, acc.now), 'now': x, 'n': (length(x) // 4)::BIGINT}} ELSE {{'done': acc.done, 'now': acc.now || ' ' || x, 'n': (acc.n + length(x) // 4)::BIGINT}} END, {_EMPTY})""")
+
+
+def hard_pieces(source: str, key: str, x: str, most: int) -> str:
+    """CTEs f, h, p, b and c, of which c holds the pieces of text ``x`` of each row of ``source``, cut at sentences and, where too long, by length."""
+    token = "'@@CODE' || (i - 1) || '@@'"
+    cut = f"list_transform(range((length(p) - 1) // {4 * most} + 1), lambda k: substr(p, k * {4 * most} + 1, {4 * most}))"
+    return f"""f AS (SELECT {key}, {x} AS body, regexp_extract_all({x}, '(?s)```.*?```') AS fences FROM {source}),
+    h AS (SELECT *, list_reduce(range(1, len(fences) + 1), lambda acc, i: replace(acc, fences[i], {token}), body) AS hidden FROM f),
+    p AS (SELECT *, {packed(f"list_filter({sentences('hidden')}, lambda s: s <> '')", "' '", f"length(whole) // 4 > {most}")} AS packed FROM h),
+    b AS (SELECT *, list_transform(packed, lambda p: list_reduce(range(1, len(fences) + 1), lambda acc, i: replace(acc, {token}, fences[i]), {strip('p')})) AS shown FROM p),
+    c AS (SELECT {key}, body, CASE WHEN body = '' THEN [] ELSE flatten(list_transform(shown, lambda p: CASE WHEN length(p) // 4 > {most} THEN {cut} ELSE [p] END)) END AS pieces FROM b)"""
+
+
+SENTENCES_SUM = _numbered("documents WHERE text IS NOT NULL", "doc_id", sum_pieces("text", 300), "piece_idx", "content")
+SENTENCES_HARD = f"""WITH {hard_pieces('documents WHERE text IS NOT NULL', 'doc_id', 'text', 300)}
     {_numbered('c', 'doc_id', 'pieces', 'piece_idx', 'content')}"""
 TABLE_PIECES = f"""WITH r AS (SELECT DISTINCT chunk_id, content AS t, string_split({strip('content')}, chr(10)) AS rows FROM chunks WHERE regexp_matches(content, '(?m)^\\|[-:| ]+\\|[ \\t]*$')),
     p AS (SELECT chunk_id, CASE WHEN {by_words('t')} <= 60 OR len(rows) < 3 THEN [t] ELSE list_transform({packed("rows[3:]", "chr(10)", by_words("(rows[1] || chr(10) || rows[2] || chr(10) || whole)") + " > 60")}, lambda b: rows[1] || chr(10) || rows[2] || chr(10) || b) END AS pieces FROM r)
@@ -229,6 +236,35 @@ _ONLY = f"""(coalesce(acc.now.section_header, '') <> '' AND length({_TEXT}) < gr
 _JOINED = strip(f"({_TEXT} || chr(10) || chr(10) || {strip('x.content')})")
 JOIN_SHORT = _folded(by_length("$"), f"CASE WHEN {_ONLY} OR acc.now.n < 50 THEN {{'done': acc.done, 'now': {_row('x', _JOINED, by_length('$'))}}} ELSE {_KEEP} END")
 
+_COLUMNS = ("section_header", "section_level", "parent_section")
+
+
+def _pipeline(clean: str, parts: str, tokens: str, last: str) -> str:
+    """Cleaned texts, sections of three levels, pieces of those over the budget, short ones joined to the next: CTE ``o`` and what follows it."""
+    found = sections(_markdown_heads(3), f"section_idx, section_content, {', '.join(_COLUMNS)}").replace("FROM documents", "FROM src")
+    row = lambda base, whole: "{" + ", ".join(f"'{c}': {base}.{c}" for c in _COLUMNS) + f", 'content': {whole}, 'n': {tokens.replace('$', whole)}::BIGINT}}"
+    step = f"CASE WHEN {_ONLY} OR acc.now.n < 50 THEN {{'done': acc.done, 'now': {row('x', _JOINED)}}} ELSE {_KEEP} END"
+    fields = ", ".join(f"rows[i].{c} AS {c}" for c in _COLUMNS)
+    return f"""WITH src AS (SELECT doc_id, {clean} AS text FROM documents), sec AS ({found}), {parts},
+    e AS (SELECT doc_id, section_idx, {', '.join(_COLUMNS)}, unnest(pieces) AS content, unnest(range(len(pieces))) AS piece FROM c JOIN sec USING (doc_id, section_idx)),
+    q AS (SELECT doc_id, section_idx, piece, {row('e', 'e.content')} AS x FROM e), g AS (SELECT doc_id, list(x ORDER BY section_idx, piece) AS rows FROM q GROUP BY doc_id),
+    z AS (SELECT doc_id, list_reduce(rows[2:], lambda acc, x: {step}, {{'done': [rows[1]][1:0], 'now': rows[1]}}) AS f FROM g),
+    y AS (SELECT doc_id, list_append(f.done, f.now) AS rows FROM z),
+    o AS (SELECT printf('doc-%012d', doc_id) AS file_id, (i - 1)::INTEGER AS chunk_index, {fields}, rows[i].content AS content, rows[i].n::INTEGER AS estimated_tokens FROM (SELECT doc_id, rows, unnest(range(1, len(rows) + 1)) AS i FROM y))
+    {last}"""
+
+
+_QUARTER = "(length($) // 4)"
+PAGE_CHUNKS = _pipeline(
+    _cleaned(), f"c AS (SELECT doc_id, section_idx, CASE WHEN length(section_content) // 4 <= 512 THEN [section_content] ELSE {sum_pieces('section_content', 512)} END AS pieces FROM sec)", _QUARTER,
+    "SELECT *, (chunk_index + 1)::VARCHAR AS chunk_id, lag((chunk_index + 1)::VARCHAR) OVER w AS prev_chunk_id, lead((chunk_index + 1)::VARCHAR) OVER w AS next_chunk_id FROM o WINDOW w AS (PARTITION BY file_id ORDER BY chunk_index)",
+)
+_LONG = f"""{hard_pieces('sec', 'doc_id, section_idx', 'section_content', 1024).replace('c AS (SELECT doc_id, section_idx, body, CASE WHEN', f"c AS (SELECT doc_id, section_idx, body, CASE WHEN {by_length('body')} <= 1024 THEN [body] WHEN")}"""
+LAYOUT_CHUNKS = _pipeline(
+    NORMALISED, _LONG, by_length("$"),
+    "SELECT *, file_id || '-' || (chunk_index + 1) AS chunk_id, CASE WHEN chunk_index > 0 THEN file_id || '-' || chunk_index END AS prev_chunk_id, CASE WHEN lead(1) OVER w = 1 THEN file_id || '-' || (chunk_index + 2) END AS next_chunk_id FROM o WINDOW w AS (PARTITION BY file_id ORDER BY chunk_index)",
+)
+
 # --- contents -------------------------------------------------------------------
 
 #: Tables of contents as text, from the entries of each file: numbered lines, else list marks by level; leaders and page at the end.

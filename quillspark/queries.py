@@ -571,11 +571,21 @@ def pipeline_results(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.results(*pipelines.process(_as_files(spark, folder), "batch"))
 
 
-@_query()
+def _verdicts_of(source: str) -> str:
+    """Verdicts of the layout rules on the chunks of a query."""
+    judged = _layout_sql().replace("chunk_id, created_at", "file_id, chunk_id").replace("FROM chunks)", "FROM src2)")
+    return f"WITH src2 AS ({source}) SELECT src2.*, v.should_use, v.reason, v.content_type FROM src2 JOIN ({judged}) v USING (file_id, chunk_id)"
+
+
+@_query(_verdicts_of(oracles.LAYOUT_CHUNKS))
 def layout_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.process_layout(_as_files(spark, folder).select("file_id", "markdown"))
+    found = pipelines.process_layout(_as_files(spark, folder).select("file_id", "markdown"))
+    return found.select(
+        "file_id", "chunk_id", "chunk_index", "prev_chunk_id", "next_chunk_id", "section_header", "section_level", "parent_section", "content", "estimated_tokens",
+        "evaluation.should_use", "evaluation.reason", "evaluation.content_type",
+    )
 
 
-@_query()
+@_query(oracles.PAGE_CHUNKS)
 def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.process_pages(_as_files(spark, folder).select("file_id", "markdown"))
