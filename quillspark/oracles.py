@@ -203,6 +203,11 @@ def greedy(rows: str) -> str:
 DEDUP_GREEDY = f"""WITH {HASHED}, known AS (SELECT 0::UBIGINT AS v WHERE false), r AS (SELECT doc_id AS id, doc_id AS o, ('0x' || simhash)::UBIGINT AS v FROM fps),
     {greedy('r').replace('{kind}', 'BIGINT')}, i AS (SELECT unnest(list_transform(kept, lambda x: x.id)) AS doc_id FROM k)
     SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM i) THEN 'kept' ELSE 'duplicate' END AS status FROM fps"""
+PIPELINE_STATUS = f"""WITH {HASHED}, known AS (SELECT 0::UBIGINT AS v WHERE false), r AS (SELECT doc_id AS id, doc_id AS o, ('0x' || simhash)::UBIGINT AS v FROM fps WHERE text IS NOT NULL),
+    {greedy('r').replace('{kind}', 'BIGINT')}, i AS (SELECT unnest(list_transform(kept, lambda x: x.id)) AS id FROM k), a AS (SELECT r.* FROM r JOIN i USING (id)),
+    n AS (SELECT r.id, count(*) AS n FROM r JOIN a ON a.o < r.o AND bit_count(xor(a.v, r.v)) <= 3 GROUP BY r.id)
+    SELECT printf('doc-%012d', d.doc_id) AS path, CASE WHEN d.text IS NULL THEN 'failed' WHEN n.n > 0 THEN 'skipped' ELSE 'ok' END AS status,
+        CASE WHEN d.text IS NULL THEN 'no text' WHEN n.n > 0 THEN 'duplicate' END AS reason, coalesce(n.n, 0)::INTEGER AS n_matches FROM documents d LEFT JOIN n ON n.id = d.doc_id"""
 DEDUP_STATUS = f"SELECT status, count(*) AS n FROM ({DEDUP_GREEDY}) GROUP BY status"
 
 # --- merging --------------------------------------------------------------------

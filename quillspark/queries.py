@@ -566,6 +566,11 @@ def pipeline_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.process(_as_files(spark, folder), "batch", settings=BATCH)[1]
 
 
+@_query(oracles.PIPELINE_STATUS)
+def pipeline_status(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.screened(_as_files(spark, folder)).select("path", "status", "reason", F.size("matches").alias("n_matches"))
+
+
 @_query()
 def pipeline_results(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.results(*pipelines.process(_as_files(spark, folder), "batch"))
