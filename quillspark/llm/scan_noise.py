@@ -208,7 +208,8 @@ def edge_lines(seen: DataFrame) -> DataFrame:
     heads = seen.select("chunk_id", "file_id", F.explode("heads").alias("h")).select("chunk_id", "file_id", "h.*")
     again = heads.groupBy("file_id", "key").agg((F.min("chunk_id") != F.max("chunk_id")).alias("again"), F.max("strong").alias("known"))
     marked = again.where("again or known").select(F.col("file_id").alias("_file"), F.col("key").alias("_key"), F.lit(True).alias("marked"))
-    heads = heads.join(_small(cut(marked)), F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("key") == F.col("_key")), "left").where("strong or marked")
+    marked = cut(marked)
+    heads = heads.join(F.broadcast(marked) if _few(marked) else marked, F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("key") == F.col("_key")), "left").where("strong or marked")
     found = heads.select("chunk_id", (F.col("line_no") + 1).alias("line_no"), F.lit("running_header").alias("kind"))
     pages = seen.select("chunk_id", F.explode("pages").alias("at")).select("chunk_id", (F.col("at") + 1).alias("line_no"), F.lit("page_number").alias("kind"))
     return found.unionByName(pages).distinct()
@@ -242,9 +243,9 @@ def divided_words(seen: DataFrame, words: DataFrame) -> DataFrame:
     return joined.where(case).select("chunk_id", "line_no", "next_no", "a", "b", "joined", F.coalesce("known", "joined").alias("word"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For a broadcast join, if the rows are few enough."""
-    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
+def _few(df: DataFrame) -> bool:
+    """Whether the rows are few enough for a broadcast."""
+    return df.limit(MOST_ROWS + 1).count() <= MOST_ROWS
 
 
 def misread_words(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -260,9 +261,12 @@ def misread_words(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
     found = each.select("chunk_id", (F.col("at") + 1).alias("line_no"), F.explode(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))).alias("word"))
     found = found.where(r"length(word) > 1 and word rlike '\\p{L}'")
     joined = reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(LIGATURES[k])), LIGATURES, F.col("word"))
-    known = found.join(_small(fixes), "word").select("chunk_id", "line_no", "word", "variant")
-    printed = found.where(F.col("word").rlike(ligatures)).join(_small(fixes), "word", "left_anti").select("chunk_id", "line_no", "word", joined.alias("variant"))
-    return known.unionByName(printed)
+    ligature = F.col("word").rlike(ligatures)
+    columns = ["chunk_id", "line_no", "word", "variant"]
+    if _few(fixes):
+        return found.join(F.broadcast(fixes), "word", "left").withColumn("variant", F.coalesce("variant", F.when(ligature, joined))).where("variant is not null").select(columns)
+    known = found.join(fixes, "word").select(columns)
+    return known.unionByName(found.where(ligature).join(fixes, "word", "left_anti").withColumn("variant", joined).select(columns))
 
 
 class Noise:
