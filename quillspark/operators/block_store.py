@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import by_shuffle, shared_path
 from .hamming import block_masks, judged, keyed, signed
 
 STORED = "id string, fp bigint, seq bigint, mask bigint, key bigint, bucket int"
@@ -89,7 +89,7 @@ class BlockStore:
     def near(self, mine: DataFrame) -> DataFrame | None:
         """Stored rows ``(id, fp, seq, mask, key)`` under the keys of a batch (mask, key); None from an empty table."""
         held = self._wanted(mine)
-        return held and held.drop("bucket").join(mine.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
+        return held and held.drop("bucket").join(by_shuffle(mine.select("mask", "key").distinct()), ["mask", "key"], "left_semi")
 
     def rows_read(self, mine: DataFrame) -> int:
         """Rows of the buckets that a batch (mask, key) reads."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import by_shuffle, cut
 
 BITS, DISTANCE = 64, 3
 #: Members of a key beyond which it is made longer.
@@ -94,16 +94,16 @@ def pairs_within(entries: DataFrame, halvable: bool) -> DataFrame | None:
         if halvable and not more and (crowd or 0) > MOST_PAIRS + CROWDED * (fresh or 0):
             return None
         here = sizes.where(F.col("n") <= CROWDED) if more else sizes
-        mine = entries.join(here.select("mask", "key"), ["mask", "key"], "left_semi")
+        mine = entries.join(by_shuffle(here.select("mask", "key")), ["mask", "key"], "left_semi")
         late = mine.where("id is null").select("mask", "key", "fp", "seq")
         early = mine.select("mask", "key", F.col("fp").alias("other"), F.col("seq").alias("other_seq"), F.col("id").alias("other_id"))
         before = F.col("other_id").isNotNull() | (F.col("other_seq") < F.col("seq")) | ((F.col("other_seq") == F.col("seq")) & (F.col("other") < F.col("fp")))
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE
-        found.append(late.join(early, ["mask", "key"]).where(near & before).select("fp", "other", "other_seq", "other_id"))
+        found.append(late.join(by_shuffle(early), ["mask", "key"]).where(near & before).select("fp", "other", "other_seq", "other_id"))
         if not more:
             break
         crowded = sizes.where(F.col("n") > CROWDED)
-        entries = longer(entries.join(crowded.select("mask", "key"), ["mask", "key"], "left_semi"), masks)
+        entries = longer(entries.join(by_shuffle(crowded.select("mask", "key")), ["mask", "key"], "left_semi"), masks)
         masks = [k for m in masks for k in longer_masks(m)]
     return reduce(DataFrame.unionAll, found).distinct()
 
@@ -139,7 +139,7 @@ def _refused_in_order(nodes: DataFrame, links: DataFrame) -> DataFrame:
                     refused.add(fp)
         yield pd.DataFrame({"fp": list(refused)}, dtype="int64")
 
-    ordered = links.join(nodes, "fp").select("fp", "other", "seq").repartition(1).sortWithinPartitions("seq", "fp")
+    ordered = links.join(by_shuffle(nodes), "fp").select("fp", "other", "seq").repartition(1).sortWithinPartitions("seq", "fp")
     return ordered.select("fp", "other").mapInPandas(walk, "fp bigint")
 
 
@@ -195,7 +195,7 @@ def _judged(rows: DataFrame, nodes: DataFrame, near: Near | None, add: Callable[
     before = near(mine) if near else None
     if before is not None:
         own = nodes.select(F.col("fp").alias("_fp"), F.col("first_id").alias("_id"))
-        again = before.join(own, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_anti")
+        again = before.join(by_shuffle(own), (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_anti")
         mine = mine.unionByName(again.select("fp", "seq", "id", "mask", "key"))
     pairs = pairs_within(cut(mine), halvable=add is not None)
     if pairs is None:
@@ -205,9 +205,9 @@ def _judged(rows: DataFrame, nodes: DataFrame, near: Near | None, add: Callable[
         else:
             middle = min(max(middle, low), high - 1)
             early, late = cut(nodes.where(F.col("seq") <= middle)), cut(nodes.where(F.col("seq") > middle))
-            old = cut(rows.join(early.select("fp"), "fp", "left_semi"))
+            old = cut(rows.join(by_shuffle(early.select("fp")), "fp", "left_semi"))
             first, matches = _judged(old, early, near, add)
-            second, others = _judged(cut(rows.join(early.select("fp"), "fp", "left_anti")), late, near, add)
+            second, others = _judged(cut(rows.join(by_shuffle(early.select("fp")), "fp", "left_anti")), late, near, add)
             return cut(first.unionByName(second)), cut(matches.unionByName(others).unionByName(_late_copies(old, second)).distinct())
     pairs = cut(pairs)
     refused = pairs.where("other_id is not null").select("fp").distinct()
@@ -215,13 +215,13 @@ def _judged(rows: DataFrame, nodes: DataFrame, near: Near | None, add: Callable[
     left = nodes.join(refused, "fp", "left_anti")
     free = inner.join(refused, "fp", "left_anti").join(refused.withColumnRenamed("fp", "other"), "other", "left_anti")
     kept = settle(left.select("fp", "seq"), cut(free.select("fp", "other")))
-    accepted = nodes.join(kept.select("fp"), "fp", "left_semi").select(F.col("first_id").alias("id"), "fp", "seq")
+    accepted = nodes.join(by_shuffle(kept.select("fp")), "fp", "left_semi").select(F.col("first_id").alias("id"), "fp", "seq")
     if add:
         add(accepted)
     to = accepted.select(F.col("fp").alias("other"), F.col("id").alias("match_id"), F.col("seq").alias("other_seq"))
     ways = inner.select("fp", "other").unionByName(inner.select(F.col("other").alias("fp"), F.col("fp").alias("other"))).unionByName(nodes.select("fp", F.col("fp").alias("other")))
-    within = rows.join(ways.join(to, "other"), "fp").where(_later()).select("id", "match_id")
-    known = rows.join(pairs.where("other_id is not null").select("fp", F.col("other_id").alias("match_id")), "fp").select("id", "match_id")
+    within = rows.join(by_shuffle(ways.join(by_shuffle(to), "other")), "fp").where(_later()).select("id", "match_id")
+    known = rows.join(by_shuffle(pairs.where("other_id is not null").select("fp", F.col("other_id").alias("match_id"))), "fp").select("id", "match_id")
     return accepted, cut(within.unionByName(known).where("id != match_id").distinct())
 
 
@@ -234,14 +234,14 @@ def _late_copies(rows: DataFrame, accepted: DataFrame) -> DataFrame:
     """Matches of rows with accepted ones of a later half that yet come before them: copies of an early refused fingerprint."""
     late = keyed(accepted.select(F.col("fp").alias("other"), F.col("id").alias("match_id"), F.col("seq").alias("other_seq"), "fp"), block_masks()).drop("fp")
     copies = keyed(rows.groupBy("fp").agg(F.max("seq").alias("last")), block_masks())
-    near = copies.join(late, ["mask", "key"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE) & (F.col("other_seq") <= F.col("last")))
-    return rows.join(near.select("fp", "other", "match_id", "other_seq").distinct(), "fp").where(_later()).select("id", "match_id")
+    near = copies.join(by_shuffle(late), ["mask", "key"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE) & (F.col("other_seq") <= F.col("last")))
+    return rows.join(by_shuffle(near.select("fp", "other", "match_id", "other_seq").distinct()), "fp").where(_later()).select("id", "match_id")
 
 
 def entries_of(known: DataFrame) -> Near:
     """Accepted rows ``(id, fp)`` of earlier runs, as what ``judged`` looks up; for tables that are read in full anyway."""
     held = keyed(known.select("id", "fp", F.lit(0).cast("bigint").alias("seq")).where("id is not null and fp is not null").distinct(), block_masks())
-    return lambda mine: held.join(mine.select("mask", "key").distinct(), ["mask", "key"], "left_semi")
+    return lambda mine: held.join(by_shuffle(mine.select("mask", "key").distinct()), ["mask", "key"], "left_semi")
 
 
 def greedy_keep(df: DataFrame, id_col: str, fp_col: str, order_col: str) -> DataFrame:

@@ -67,6 +67,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not to be broadcast.
+
+    Catalyst estimates sizes from the files, without exploded rows and as
+    compressed, so it would send tables of many times its threshold through
+    the driver.
+    """
+    return df.hint("merge")
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")

@@ -311,3 +311,17 @@ def test_roots_and_deep_levels(spark):
     rows = [(1, 0, "A", 1, "1", None), (1, 1, "B", 2, None, None), (2, 0, "X", 11, None, None), (2, 1, "Y", 12, None, None), (2, 2, "Z", 13, None, None)]
     flat = spark.createDataFrame(rows, "file_id int, entry_no int, title string, level int, numeric_id string, parent_id string")
     assert {(r.title, r.parent_title) for r in toc.resolved(flat).collect()} == {("A", None), ("B", None), ("X", None), ("Y", "X"), ("Z", "Y")}
+
+
+def initial_plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_under_all_keys_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("a", 7, 0), ("b", 6, 1), ("c", 1 << 40, 2)], "id string, fp bigint, seq bigint").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))  # a table whose size is known
+    store = block_store.BlockStore(spark, str(tmp_path / "store"))
+    store.append(rows)
+    mine = hamming.keyed(rows.withColumn("id", F.lit(None).cast("string")), hamming.block_masks())
+    for frame in (store.near(mine), hamming.entries_of(rows)(mine), hamming.pairs_within(mine, halvable=False)):
+        assert "Broadcast" not in initial_plan(frame)
