@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import by_shuffle
+
 MARKER = r"(?i)<!--\s*image\s*-->|!\[.*?\]\(.*?\)"
 
 
@@ -43,7 +45,7 @@ def placed(annotations: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> Da
     marked = F.contains(low, F.lit("<!-- image -->")) | F.contains(low, F.lit("!["))
     dealt = chunks.select(doc, "chunk_index", "content", F.pmod(F.xxhash64("chunk_index"), F.lit(PARTS)).alias("_part"))
     sought = annotations.where("pos is null").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
-    told = sought.join(dealt, [doc, "_part"]).where(marked | holds(F.substring("caption", 1, 50)) | holds(c("self_ref")))
+    told = by_shuffle(sought).join(dealt, [doc, "_part"]).where(marked | holds(F.substring("caption", 1, 50)) | holds(c("self_ref")))
     keys = [doc, "annotation_no"]
     found = ranged.select(*keys, "chunk_index").unionByName(told.select(*keys, "chunk_index")).groupBy(*keys).agg(F.min("chunk_index").alias("chunk_index"))
     return annotations.join(found, keys, "left")

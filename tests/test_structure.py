@@ -325,3 +325,12 @@ def test_fingerprints_under_all_keys_are_not_broadcast(spark, tmp_path):
     mine = hamming.keyed(rows.withColumn("id", F.lit(None).cast("string")), hamming.block_masks())
     for frame in (store.near(mine), hamming.entries_of(rows)(mine), hamming.pairs_within(mine, halvable=False)):
         assert "Broadcast" not in initial_plan(frame)
+
+
+def test_annotations_in_all_parts_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("d", 0, "1 A", "A", None), ("d", 1, "2 B", "none", None)], "doc_id string, annotation_no int, self_ref string, caption string, pos bigint").write.parquet(str(tmp_path / "marks"))
+    spark.createDataFrame([("d", 3, "about a", 0, 7), ("d", 4, "b", 7, 8)], "doc_id string, chunk_index int, content string, char_start int, char_end int").write.parquet(str(tmp_path / "chunks"))
+    put = annotate.placed(spark.read.parquet(str(tmp_path / "marks")).where("pos is null"), spark.read.parquet(str(tmp_path / "chunks")))
+    assert {(r.annotation_no, r.chunk_index) for r in put.collect()} == {(0, 3), (1, None)}
+    sides = [x for x in initial_plan(put).split("\n") if "Join" in x and "_part#" in x]
+    assert sides and all("SortMergeJoin" in x for x in sides)
