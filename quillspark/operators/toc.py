@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, stripped, text_lines
+from ..session import by_shuffle
 
 # The title of a table of contents, and the forms of its lines.
 _TITLE = r"(?:##\s*Table of Contents|TABLE OF CONTENTS)"
@@ -144,12 +145,12 @@ def enriched(chunks: DataFrame, keys: DataFrame, doc: str = "doc_id", header: st
     fields = [F.col(x).alias(f"toc_{x}") for x in FIELDS]
     heads = chunks.select(doc, F.col(header).alias("_h")).distinct()
     heads = heads.where("_h is not null") if empty_matches else heads.where(stripped(F.col("_h")) != "")
-    exact = heads.join(keys.select(doc, F.col("key").alias("_h"), *fields), [doc, "_h"])
+    exact = heads.join(by_shuffle(keys.select(doc, F.col("key").alias("_h"), *fields)), [doc, "_h"])
     open_ = heads.join(exact.select(doc, "_h"), [doc, "_h"], "left_anti")
     # headers of a document are dealt to parts, each of which meets all keys of the document
     dealt = open_.withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(PARTS)))
     spread = keys.select(doc, "key", "key_no", *fields, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("_part"))
-    inside = dealt.join(spread, [doc, "_part"]).where(F.contains(F.lower("key"), F.lower("_h")))
+    inside = dealt.join(by_shuffle(spread), [doc, "_part"]).where(F.contains(F.lower("key"), F.lower("_h")))
     names = [f"toc_{x}" for x in FIELDS]
     first = inside.groupBy(doc, "_h").agg(F.min_by(F.struct(*names), "key_no").alias("_e")).select(doc, "_h", "_e.*")
     return chunks.join(exact.unionByName(first).withColumnRenamed("_h", header), [doc, header], "left")

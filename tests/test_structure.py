@@ -334,3 +334,13 @@ def test_annotations_in_all_parts_are_not_broadcast(spark, tmp_path):
     assert {(r.annotation_no, r.chunk_index) for r in put.collect()} == {(0, 3), (1, None)}
     sides = [x for x in initial_plan(put).split("\n") if "Join" in x and "_part#" in x]
     assert sides and all("SortMergeJoin" in x for x in sides)
+
+
+def test_keys_of_contents_in_all_parts_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("d", 0, "Scope", 1, "1", None, "Scope"), ("d", 1, "Method", 1, "2", None, "Method")], "doc_id string, entry_no int, title string, level int, numeric_id string, parent_id string, full_path string").write.parquet(str(tmp_path / "toc"))
+    spark.createDataFrame([("d", 0, "1. Scope"), ("d", 1, "METH"), ("d", 2, "zzz")], "doc_id string, n int, section_header string").write.parquet(str(tmp_path / "chunks"))
+    keys = toc.lookup(spark.read.parquet(str(tmp_path / "toc")))
+    put = toc.enriched(spark.read.parquet(str(tmp_path / "chunks")), keys, "doc_id")
+    assert {(r.n, r.toc_full_path) for r in put.collect()} == {(0, "Scope"), (1, "Method"), (2, None)}
+    sides = [x for x in initial_plan(put).split("\n") if "Join" in x and ("_part#" in x or "Inner" in x)]
+    assert sides and all("SortMergeJoin" in x for x in sides)
